@@ -33,7 +33,7 @@ ROLL = 16
 ZERO_BITS = 10
 SHORTEST, LONGEST = 128, 8192
 #: Characters of text whose chunks a worker keeps, and pre-tokens whose ids it keeps.
-STORE, MEMO = 1 << 23, 1 << 19
+STORE, MEMO = 1 << 22, 1 << 18
 #: Starts that a chunk keeps; a join that does not agree within them is re-encoded to the chunk's end.
 HEAD = 12
 #: Characters after a pre-token's start that decide which kind of pre-token it is ('re, 've, 'll).

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_codec, token_count
-from recordloom.llm.common import table
+from recordloom.llm import bpe_codec, near_dup, quality, substring_dedup, token_count, toxicity
+from recordloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,44 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"))
 
 
+#: Scores from which a document counts as good, and as toxic.
+GOOD, TOXIC = 0.3, 0.5
+
+
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(quality.with_quality(docs, table(spark, sf_dir, "labels")), GOOD)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.with_toxicity(docs, table(spark, sf_dir, "labels")), TOXIC)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op5_bpe_codec": op5_bpe_codec}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
+        "op5_bpe_codec": op5_bpe_codec,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op9_near_dup": op9_near_dup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
