@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_codec, near_dup, quality, substring_dedup, token_count, toxicity
+from recordloom.llm import ann, bpe_codec, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream
 from recordloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,16 +74,72 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = transport_stream.load(transport_stream.store(docs))
+    stream = F.col("stream")
+    payload = stream["payload"]
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("packets="), stream["packets"]),
+        F.concat(F.lit("pes="), F.size(stream["stamps"])),
+        F.concat(F.lit("last_pts="), F.element_at(stream["stamps"], -1)),
+        F.concat(F.lit("random_access="), F.size(stream["random_access"])),
+        F.concat(F.lit("discontinuities="), stream["discontinuities"]),
+        F.coalesce(stream["error"], F.lit("whole")),
+    )
+    return read.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.preference_pairs(*preference.with_other_endings(table(spark, sf_dir, "conversations")))
+    spans = lambda mask: F.array_join(F.transform(mask, lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
+    return pairs.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
+
+
+#: Shares of the tokens that the mixture should have, by domain.
+TARGETS = {"good": 0.90, "junk": 0.06, "toxic": 0.04}
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'junk' END"
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.expr(DOMAIN).alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixer = mixing.fit(docs, labelled_domains(spark, sf_dir), TARGETS)
+    return mixing.with_rates(docs, mixer).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_ann": op2_ann,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_transport_stream": op7_transport_stream,
+        "op8_preference": op8_preference,
         "op9_near_dup": op9_near_dup,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_preference": preference.ORACLE_SQL}
