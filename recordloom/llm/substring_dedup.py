@@ -13,7 +13,7 @@ hashed and compared; what is shuffled is arranged so that it stays small and eve
 * runs are dealt to blocks by a hash of the minimiser. The number of blocks follows the bytes of
   text, so that a block's windows fit a task at any size of the input.
 
-Blocks answer with copied stretches of word positions; those of a document are merged into maximal
+Blocks answer with copied stretches of word positions, a row each; those of a document are merged into maximal
 removal intervals, which meet its text in one join.
 """
 
@@ -146,11 +146,11 @@ def _windows(window: int, blocks: int):
     return pack
 
 
-COPIED = "doc long, starts array<int>, lengths array<int>"
+COPIED = "doc long, start int, length int"
 
 
 def _copies(table: pa.Table) -> pa.Table:
-    """The copied stretches of a block's windows, a row for each document."""
+    """The copied stretches of a block's windows."""
     column = {name: table.column(name).to_pylist() for name in PACKED.names[1:]}
     gram = np.concatenate([np.frombuffer(x, np.uint64) for x in column["gram"]])
     doc, at, length, cd, ca, cl = (
@@ -190,11 +190,9 @@ def _copies(table: pa.Table) -> pa.Table:
     at_new = np.flatnonzero(new)
     if len(at_new):
         ends = np.maximum.reduceat(ends, at_new)
-    docs, starts = docs[at_new], starts[at_new]
-    ids, begin = np.unique(docs, return_index=True)
-    offsets = pa.array(np.append(begin, len(docs)).astype(np.int32))
-    part = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
-    return pa.table({"doc": pa.array(ids), "starts": part(starts), "lengths": part(ends[: len(starts)] - starts)})
+    starts = starts[at_new]
+    lengths = ends[: len(starts)] - starts
+    return pa.table({"doc": docs[at_new], "start": starts.astype(np.int32), "length": lengths.astype(np.int32)})
 
 
 KEPT = "struct<n_words: long, intervals: array<struct<start: int, end: int>>, kept: string>"
@@ -245,7 +243,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
         packed.groupBy("block")
         .applyInArrow(_copies, COPIED)
         .groupBy("doc")
-        .agg(F.flatten(F.collect_list("starts")).alias("__starts"), F.flatten(F.collect_list("lengths")).alias("__lengths"))
+        .agg(F.collect_list("start").alias("__starts"), F.collect_list("length").alias("__lengths"))
         .withColumnRenamed("doc", "__doc")
     )
     joined = docs.join(copied, docs[id].cast("long") == copied["__doc"], "left")
