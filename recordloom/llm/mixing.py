@@ -12,7 +12,7 @@
    Measured by tokens, a document's gradient depends on its posterior alone:
    sum_k p_ik (S_k - t_k) / t_k + pull * (r_i - 1). A turn is therefore one aggregation of a few sums
    over (tokens, posteriors), and the driver keeps a few numbers for each turn. A document's rate is
-   those turns replayed on its posterior, so applying the fit needs no join, and nothing but the
+   those turns replayed on its posterior, so applying the fit to texts needs no join, and nothing but the
    numbers has to survive a lost executor.
 """
 
@@ -38,7 +38,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 @dataclass
 class Mixer:
     domains: list[str]
-    weights: list[np.ndarray]  # log-likelihood of each bucket, by domain, centred
+    weights: np.ndarray  # log-likelihood of each bucket by domain, centred: the domains' sum is 0
+    repeats: np.ndarray  # the same of a repeated word and of another one
     prior: list[float]  # log
     turns: list[list[float]]  # relative errors by domain, turn by turn
     step: float
@@ -49,12 +50,16 @@ def _words(text: Column) -> Column:
 
 
 def _buckets(words: Column) -> Column:
-    """Beginnings, endings and whether a word repeats the one before it, as bucket numbers."""
+    """Each word's beginning and ending as bucket numbers."""
     bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
     begins = F.transform(words, lambda w: bucket(F.substring(w, 1, 5)))
-    ends = F.transform(words, lambda w: bucket(F.lit("-"), F.substring(w, -2, 2)))
-    again = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: bucket(F.lit("="), F.coalesce(a == b, F.lit(False))))
-    return F.concat(begins, ends, again)
+    return F.concat(begins, F.transform(words, lambda w: bucket(F.lit("-"), F.substring(w, -2, 2))))
+
+
+def _repeats(words: Column) -> Column:
+    """How many words are the word before them again."""
+    again = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b)
+    return F.size(F.filter(again, lambda x: x))
 
 
 def _array(values) -> Column:
@@ -70,15 +75,22 @@ def _looked_up(buckets: Column, weights: Column) -> Column:
 def _measured(docs: DataFrame, text: str, mixer: Mixer) -> DataFrame:
     """``docs`` with __n (tokens, long) and __p (posterior by domain, array of doubles)."""
     rows = docs.withColumn("__words", _words(F.col(text)))
-    rows = rows.withColumns({"__n": F.size("__words").cast("long"), "__buckets": _buckets(F.col("__words"))})
+    rows = rows.withColumns(
+        {"__n": F.size("__words").cast("long"), "__buckets": _buckets(F.col("__words")), "__r": _repeats(F.col("__words"))}
+    )
     scale = F.sqrt(F.greatest(F.col("__n"), F.lit(1)))
-    logits = []
-    for weights, prior in zip(mixer.weights, mixer.prior):
-        logits.append(_looked_up(F.col("__buckets"), _array(weights)) / scale + F.lit(prior))
-    rows = rows.withColumn("__z", F.array(*logits))
-    rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
-    total = F.aggregate("__e", F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn("__p", F.transform("__e", lambda x: x / total)).drop("__words", "__buckets", "__z", "__e")
+    names = [f"__l{j}" for j in range(len(mixer.domains))]
+    found = {name: _looked_up(F.col("__buckets"), _array(w)) for name, w in zip(names[:-1], mixer.weights)}
+    rows = rows.withColumns(found).withColumn(names[-1], -sum((F.col(x) for x in names[:-1]), F.lit(0.0)))
+    logits = [
+        (F.col(x) + F.col("__r") * float(yes) + (F.col("__n") - F.col("__r")) * float(no)) / scale + prior
+        for x, (yes, no), prior in zip(names, mixer.repeats, mixer.prior)
+    ]
+    rows = rows.withColumn("__z", F.array(*logits)).withColumn("__top", F.array_max("__z"))
+    rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.col("__top"))))
+    rows = rows.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda s, x: s + x))
+    rows = rows.withColumn("__p", F.transform("__e", lambda x: x / F.col("__t")))
+    return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", *names)
 
 
 def _rate(posterior: Column, mixer: Mixer, pull: float) -> Column:
@@ -101,24 +113,26 @@ def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: st
     # at most TRAIN rows: small enough to send to every task whatever the input
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     shares = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    words = rows.select("domain", _words(F.col("text")).alias("w"))
     counted = (
-        rows.select("domain", F.explode(_buckets(_words(F.col("text")))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
+        words.select("domain", F.explode(_buckets(F.col("w"))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
     )  # at most BUCKETS rows for each domain
-    counts = np.ones((len(domains), BUCKETS))
+    counts, again = np.ones((len(domains), BUCKETS)), np.ones((len(domains), 2))
     for r in counted:
         counts[domains.index(r["domain"]), r["b"]] += r["n"]
-    logs = np.log(counts / counts.sum(1, keepdims=True))
-    logs -= logs.mean(0)
+    for r in words.groupBy("domain").agg(F.sum(_repeats(F.col("w"))).alias("r"), F.sum(F.size("w")).alias("n")).collect():
+        again[domains.index(r["domain"])] += r["r"], r["n"] - r["r"]
+    logs = [np.log(x / x.sum(1, keepdims=True)) for x in (counts, again)]
     n = sum(shares.values())
     prior = [math.log((shares.get(d, 0) + 1) / (n + len(domains))) for d in domains]
-    return Mixer(domains, list(logs), prior, [], 0.0)
+    return Mixer(domains, logs[0] - logs[0].mean(0), logs[1], prior, [], 0.0)
 
 
 def fit(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text",
     turns: int = TURNS, enough: float = ENOUGH, pull: float = PULL,
-) -> Mixer:
-    """Classifier and rates for ``docs``.
+) -> tuple[Mixer, DataFrame]:
+    """Classifier and rates for ``docs``, and ``docs`` without the text but with what ``with_rates`` adds.
 
     ``labelled`` has (id, domain); ``targets`` gives each domain's share of the tokens, which are
     normalised; the total stays that of ``docs``. Documents that are labelled more than once have
@@ -129,25 +143,29 @@ def fit(
     mixer = _classifier(docs, labelled, domains, id, text)
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
     k = len(domains)
-    base = durable(_measured(docs.select(text), text, mixer).select("__n", "__p").where("__n > 0"))
-    moments = base.agg(
+    base = durable(_measured(docs, text, mixer).drop(text))
+    weighty = base.where("__n > 0").select("__n", "__p")
+    moments = weighty.agg(
         F.sum("__n").alias("n"), *[F.sum(F.col("__n") * F.col("__p")[a] * F.col("__p")[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]
     ).first()
-    if not moments["n"]:
-        return mixer
-    total = float(moments["n"])
-    wanted = shares * total
-    curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(wanted, wanted))
-    mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
-    for _ in range(turns):
-        rate = _rate(F.col("__p"), mixer, pull)
-        weighed = base.select((F.col("__n") * rate).alias("w"), "__p")
-        sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
-        errors = [(sums[f"s{j}"] - wanted[j]) / wanted[j] for j in range(k)]
-        if max(map(abs, errors)) < enough:
-            break
-        mixer.turns.append(errors)
-    return mixer
+    if moments["n"]:
+        total = float(moments["n"])
+        wanted = shares * total
+        curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(wanted, wanted))
+        mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
+        for _ in range(turns):
+            weighed = weighty.select((F.col("__n") * _rate(F.col("__p"), mixer, pull)).alias("w"), "__p")
+            sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
+            errors = [(sums[f"s{j}"] - wanted[j]) / wanted[j] for j in range(k)]
+            if max(map(abs, errors)) < enough:
+                break
+            mixer.turns.append(errors)
+    return mixer, _with_rates(base, mixer, pull)
+
+
+def _with_rates(measured: DataFrame, mixer: Mixer, pull: float) -> DataFrame:
+    named = {f"p_{d}": F.col("__p")[j] for j, d in enumerate(mixer.domains)}
+    return measured.withColumns({"n_tokens": F.col("__n"), **named, "rate": _rate(F.col("__p"), mixer, pull)}).drop("__n", "__p")
 
 
 def with_rates(docs: DataFrame, mixer: Mixer, text: str = "text", pull: float = PULL) -> DataFrame:
@@ -157,9 +175,7 @@ def with_rates(docs: DataFrame, mixer: Mixer, text: str = "text", pull: float =
     other columns pass through, but those named like a result are replaced; an empty table gives an
     empty one.
     """
-    rows = _measured(docs, text, mixer)
-    named = {f"p_{d}": F.col("__p")[j] for j, d in enumerate(mixer.domains)}
-    return rows.withColumns({"n_tokens": F.col("__n"), **named, "rate": _rate(F.col("__p"), mixer, pull)}).drop("__n", "__p")
+    return _with_rates(_measured(docs, text, mixer), mixer, pull)
 
 
 def mixed(docs: DataFrame, mixer: Mixer, id: str = "doc_id", text: str = "text") -> DataFrame:

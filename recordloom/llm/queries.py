@@ -122,8 +122,7 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixer = mixing.fit(docs, labelled_domains(spark, sf_dir), TARGETS)
-    return mixing.with_rates(docs, mixer).drop("text")
+    return mixing.fit(docs, labelled_domains(spark, sf_dir), TARGETS)[1]
 
 
 def queries() -> dict[str, Query]:
