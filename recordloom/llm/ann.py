@@ -4,7 +4,9 @@ The tree is fitted on a bounded sample; every vector is filed in the leaf that i
 query walks the tree best bin first: a priority queue holds the nodes seen so far by the inner
 product of query and centre, and leaves are visited in the order they leave the queue. How many are
 visited is calibrated: a bounded sample of the queries is answered exactly, by one pass over all
-vectors, and visits are widened until the leaves hold the wanted share of the exact neighbours.
+vectors, and visits are widened until the leaves hold the wanted share of the exact neighbours. That
+is done for the tree cut at each of its levels, and the level with the least work for a query is
+taken: vectors without clusters are better filed in few large leaves, clustered ones in many.
 
 Vectors and queries meet in one shuffle on (leaf, block); a leaf of many vectors is dealt to blocks
 of bounded size, and a query that visits it goes to each. Equal vectors are filed once and their ids
@@ -27,17 +29,20 @@ from recordloom.llm.common import durable
 #: Vectors to fit the tree on, and queries to calibrate on, at most.
 SAMPLE, CALIBRATE = 16384, 256
 #: Children of a node; vectors of the whole index that a leaf should hold; rows of a block.
-BRANCH, LEAF, BLOCK = 8, 512, 4096
+BRANCH, LEAF, BLOCK = 8, 512, 16384
 #: Candidates beyond k that a block keeps, against rounding in the matrix product.
 SPARE = 4
+#: Work of one more leaf for a query, in vectors compared.
+VISIT = 2000
 
 
 class Tree:
-    """Nodes in order of creation; node 0 is the root. ``leaf[i]`` is the leaf number or -1."""
+    """Nodes in order of creation; node 0 is the root; nodes without children are leaves."""
 
     def __init__(self, sample: np.ndarray, least: int, seed: int = 7):
-        self.centres = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
+        centres = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[list[int]] = [[]]
+        self.parent, self.depth = [-1], [0]
         rng = np.random.default_rng(seed)
         todo = [(0, sample)]
         while todo:
@@ -45,37 +50,46 @@ class Tree:
             if len(rows) <= least:
                 continue
             part = _kmeans(rows, BRANCH, rng)
-            groups = [rows[part == j] for j in range(part.max() + 1)]
-            groups = [g for g in groups if len(g)]
+            groups = [g for j in range(BRANCH) if len(g := rows[part == j])]
             if len(groups) < 2:
                 continue
             for g in groups:
-                self.children[node].append(len(self.centres))
-                todo.append((len(self.centres), g))
-                self.centres.append(g.mean(0))
+                self.children[node].append(len(centres))
+                todo.append((len(centres), g))
+                centres.append(g.mean(0))
                 self.children.append([])
-        self.centres = np.array(self.centres)
-        self.leaf = np.full(len(self.children), -1)
-        ends = [i for i, c in enumerate(self.children) if not c]
-        self.leaf[ends] = np.arange(len(ends))
-        self.n_leaves = len(ends)
+                self.parent.append(node)
+                self.depth.append(self.depth[node] + 1)
+        self.centres = np.array(centres)
+
+    def cut(self, depth: int) -> Tree:
+        """The tree with the nodes of this depth as leaves."""
+        out = Tree.__new__(Tree)
+        out.centres, out.parent, out.depth = self.centres, self.parent, self.depth
+        out.children = [kids if d < depth else [] for kids, d in zip(self.children, self.depth)]
+        return out
+
+    def at(self, leaf: int, depth: int) -> int:
+        """The leaf of the tree cut at ``depth`` that a leaf lies in."""
+        while self.depth[leaf] > depth:
+            leaf = self.parent[leaf]
+        return leaf
 
     def descend(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row: the nearest child all the way down."""
         at = np.zeros(len(rows), int)
-        out = np.full(len(rows), -1)
         active = np.arange(len(rows))
         while len(active):
+            deeper = []
             for node in np.unique(at[active]):
-                mine = active[at[active] == node]
-                if self.leaf[node] >= 0:
-                    out[mine] = self.leaf[node]
-                    continue
-                kids = np.array(self.children[node])
-                c = self.centres[kids]
-                at[mine] = kids[np.argmin((c * c).sum(1) - 2 * rows[mine] @ c.T, axis=1)]
-            active = active[out[active] < 0]
-        return out
+                kids = np.array(self.children[node], int)
+                if len(kids):
+                    mine = active[at[active] == node]
+                    c = self.centres[kids]
+                    at[mine] = kids[np.argmin((c * c).sum(1) - 2 * rows[mine] @ c.T, axis=1)]
+                    deeper.append(mine)
+            active = np.concatenate(deeper) if deeper else active[:0]
+        return at
 
     def visits(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
@@ -83,8 +97,8 @@ class Tree:
         queue = [(closeness[0], 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            if self.leaf[node] >= 0:
-                yield int(self.leaf[node])
+            if not self.children[node]:
+                yield node
             for kid in self.children[node]:
                 heapq.heappush(queue, (closeness[kid], kid))
 
@@ -146,17 +160,23 @@ def neighbours(
     n = filed.count()
     sample = filed.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     sampled = _matrix(sample.column("v"), d)
-    tree = Tree(sampled, max(8, LEAF * len(sampled) // max(n, 1)))
-    shipped = spark.sparkContext.broadcast(tree)
+    deep = Tree(sampled, max(8, LEAF * len(sampled) // max(n, 1)))
+    shipped_deep = spark.sparkContext.broadcast(deep)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = shipped.value.descend(_matrix(batch.column("v"), d)) if len(batch) else []
+            leaf = shipped_deep.value.descend(_matrix(batch.column("v"), d)) if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf, pa.int32())], ["id", "v", "leaf"])
 
     placed = durable(filed.mapInArrow(place, "id long, v array<double>, leaf int"))
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the tree
-    width = _calibrated(placed, asked, tree, sizes, d, k, recall)
+    counted = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the tree
+    level, width = _calibrated(placed, asked, deep, counted, d, k, recall)
+    sizes: dict[int, int] = {}
+    for leaf, count in counted.items():
+        sizes[deep.at(leaf, level)] = sizes.get(deep.at(leaf, level), 0) + count
+    shipped = spark.sparkContext.broadcast(deep.cut(level))
+    above = F.split(F.lit(",".join(str(deep.at(i, level)) for i in range(len(deep.parent)))), ",").cast("array<int>")
+    placed = placed.withColumn("leaf", above[F.col("leaf")])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value
@@ -207,11 +227,16 @@ def neighbours(
     )
 
 
-def _calibrated(placed: DataFrame, asked: DataFrame, tree: Tree, sizes: dict[int, int], d: int, k: int, recall: float) -> int:
-    """How many leaves to visit: widened until the sampled queries' exact neighbours are found."""
+def _calibrated(
+    placed: DataFrame, asked: DataFrame, tree: Tree, sizes: dict[int, int], d: int, k: int, recall: float
+) -> tuple[int, int]:
+    """The level to cut the tree at, and how many leaves to visit there.
+
+    At each level visits are widened until the sampled queries' exact neighbours are found.
+    """
     rows = asked.orderBy(F.xxhash64("q", F.lit(3)), "q").limit(CALIBRATE).toArrow()
     if not len(rows):
-        return 1
+        return 1, 1
     queries, names = _matrix(rows.column("v"), d), rows.column("q").to_numpy()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +255,17 @@ def _calibrated(placed: DataFrame, asked: DataFrame, tree: Tree, sizes: dict[int
     near = placed.mapInArrow(exact, "i long, id long, leaf int, score double")
     order = Window.partitionBy("i").orderBy(F.desc("score"), "id")
     truth = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("i", "leaf").collect()
-    ranks = [{leaf: r for r, leaf in enumerate(tree.visits(q), 1)} for q in queries]
-    needed = np.array([ranks[t["i"]][t["leaf"]] for t in truth])
-    width = 1
-    while len(needed) and (needed <= width).mean() < recall:
-        width += 1
-    return width
+    best = (np.inf, 1, 1)
+    for level in range(1, max(1, *tree.depth) + 1 if len(tree.depth) > 1 else 2):
+        cut, held = tree.cut(level), {}
+        for leaf, count in sizes.items():
+            held[tree.at(leaf, level)] = held.get(tree.at(leaf, level), 0) + count
+        orders = [list(cut.visits(q)) for q in queries]
+        ranks = [{leaf: r for r, leaf in enumerate(o, 1)} for o in orders]
+        needed = np.array([ranks[t["i"]][tree.at(t["leaf"], level)] for t in truth])
+        width = 1
+        while len(needed) and (needed <= width).mean() < recall:
+            width += 1
+        scanned = np.mean([sum(held.get(leaf, 0) for leaf in o[:width]) for o in orders])
+        best = min(best, (scanned + VISIT * width, level, width))
+    return best[1], best[2]
