@@ -10,10 +10,12 @@
        1/2 sum_k (S_k - t_k)^2 / (T t_k)  +  pull/2 sum_i (n_i / T) (r_i - 1)^2
 
    Measured by tokens, a document's gradient depends on its posterior alone:
-   sum_k p_ik (S_k - t_k) / t_k + pull * (r_i - 1). A turn is therefore one aggregation of a few sums
-   over (tokens, posteriors), and the driver keeps a few numbers for each turn. A document's rate is
-   those turns replayed on its posterior, so applying the fit to texts needs no join, and nothing but the
-   numbers has to survive a lost executor.
+   sum_k p_ik (S_k - t_k) / t_k + pull * (r_i - 1). Posteriors are given in steps of 1 / GRID, so all
+   documents are first summed up to one row of tokens for each posterior: some ten thousands of rows
+   for three domains, however many documents there are. A turn is one aggregation of a few sums over
+   those rows, which carry their rates along, and the driver keeps a few numbers for each turn. A
+   document's rate is those turns replayed on its posterior, so applying the fit to texts needs no
+   join, and nothing but the numbers has to survive a lost executor.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from recordloom.llm.common import durable
 BUCKETS, TRAIN = 8192, 20000
 #: Turns at most, relative error to stop at, and the pull to rate 1.
 TURNS, ENOUGH, PULL = 60, 1e-4, 1e-3
+#: Steps of a posterior from 0 to 1, and turns after which the rates so far are written down.
+GRID, WRITE = 256, 10
 #: Log-odds of a document grow with the root of its length: words of a text are not independent.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -89,22 +93,29 @@ def _measured(docs: DataFrame, text: str, mixer: Mixer) -> DataFrame:
     rows = rows.withColumn("__z", F.array(*logits)).withColumn("__top", F.array_max("__z"))
     rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.col("__top"))))
     rows = rows.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda s, x: s + x))
-    rows = rows.withColumn("__p", F.transform("__e", lambda x: x / F.col("__t")))
-    return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", *names)
-
-
-def _rate(posterior: Column, mixer: Mixer, pull: float) -> Column:
-    """The turns replayed on a posterior, from rate 1."""
-    if not mixer.turns:
-        return F.lit(1.0)
+    # the sums of the first posteriors are rounded, not each one: then all are 0 or more and add up to 1
+    sums = [F.lit(0)]
+    for j in range(len(mixer.domains)):
+        sums.append(F.round(sum((F.col("__e")[i] for i in range(j + 1)), F.lit(0.0)) / F.col("__t") * GRID).cast("int"))
+    rows = rows.withColumn("__c", F.array(*sums))
+    rows = rows.withColumn("__p", F.array(*[(F.col("__c")[j + 1] - F.col("__c")[j]) / float(GRID) for j in range(len(mixer.domains))]))
+    return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", "__c", *names)
+
+
+def _rate(posterior: Column, mixer: Mixer, pull: float, start: Column | None = None, since: int = 0) -> Column:
+    """The turns from number ``since`` on replayed on a posterior, from the rate ``start`` or 1."""
+    turns = mixer.turns[since:]
+    start = F.lit(1.0) if start is None else start
+    if not turns:
+        return start
     k = len(mixer.domains)
-    flat = _array([x for turn in mixer.turns for x in turn])
+    flat = _array([x for turn in turns for x in turn])
 
     def step(rate: Column, i: Column) -> Column:
         slope = sum((posterior[j] * flat[i * k + j] for j in range(k)), F.lit(pull) * (rate - 1.0))
         return F.greatest(F.lit(0.0), rate - mixer.step * slope)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(mixer.turns) - 1)), F.lit(1.0), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(turns) - 1)), start, step)
 
 
 def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: str, text: str) -> Mixer:
@@ -144,7 +155,7 @@ def fit(
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
     k = len(domains)
     base = durable(_measured(docs, text, mixer).drop(text))
-    weighty = base.where("__n > 0").select("__n", "__p")
+    weighty = durable(base.where("__n > 0").groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__r", F.lit(1.0)))
     moments = weighty.agg(
         F.sum("__n").alias("n"), *[F.sum(F.col("__n") * F.col("__p")[a] * F.col("__p")[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]
     ).first()
@@ -153,8 +164,13 @@ def fit(
         wanted = shares * total
         curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(wanted, wanted))
         mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
-        for _ in range(turns):
-            weighed = weighty.select((F.col("__n") * _rate(F.col("__p"), mixer, pull)).alias("w"), "__p")
+        written = 0
+        for turn in range(turns):
+            rate = _rate(F.col("__p"), mixer, pull, F.col("__r"), written)
+            if turn - written == WRITE:
+                weighty, written = durable(weighty.withColumn("__r", rate)), turn
+                rate = F.col("__r")
+            weighed = weighty.select((F.col("__n") * rate).alias("w"), "__p")
             sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
             errors = [(sums[f"s{j}"] - wanted[j]) / wanted[j] for j in range(k)]
             if max(map(abs, errors)) < enough:
