@@ -21,13 +21,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import durable
+from recordloom.llm.common import durable, shared_folder
 
 #: Feature buckets, and labelled documents to count at most.
 BUCKETS, TRAIN = 8192, 20000
@@ -93,12 +94,12 @@ def _measured(docs: DataFrame, text: str, mixer: Mixer) -> DataFrame:
     rows = rows.withColumn("__z", F.array(*logits)).withColumn("__top", F.array_max("__z"))
     rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.col("__top"))))
     rows = rows.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda s, x: s + x))
-    # the sums of the first posteriors are rounded, not each one: then all are 0 or more and add up to 1
-    sums = [F.lit(0)]
-    for j in range(len(mixer.domains)):
-        sums.append(F.round(sum((F.col("__e")[i] for i in range(j + 1)), F.lit(0.0)) / F.col("__t") * GRID).cast("int"))
-    rows = rows.withColumn("__c", F.array(*sums))
-    rows = rows.withColumn("__p", F.array(*[(F.col("__c")[j + 1] - F.col("__c")[j]) / float(GRID) for j in range(len(mixer.domains))]))
+    # the sums of the first posteriors are rounded, not each one: then all are 0 or more and add up to 1;
+    # made by array functions, as the optimizer would copy the elements of F.array() into every use
+    first = lambda j: F.aggregate(F.slice("__e", F.lit(1), j), F.lit(0.0), lambda s, x: s + x)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(len(mixer.domains))), lambda j: F.round(first(j) / F.col("__t") * GRID))
+    rows = rows.withColumn("__c", steps)
+    rows = rows.withColumn("__p", F.zip_with(F.slice("__c", 2, len(mixer.domains)), F.slice("__c", 1, len(mixer.domains)), lambda x, y: (x - y) / GRID))
     return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", "__c", *names)
 
 
@@ -200,7 +201,11 @@ def mixed(docs: DataFrame, mixer: Mixer, id: str = "doc_id", text: str = "text")
     The chance is a hash of id and text, so that a rerun gives the same rows. Rows of rate 1 or more stay.
     """
     columns = docs.columns
-    rows = with_rates(docs.select(*[F.col(c).alias(f"in_{c}") for c in columns]), mixer, f"in_{text}")
+    rows = _measured(docs.select(*[F.col(c).alias(f"in_{c}") for c in columns]), f"in_{text}", mixer)
+    # written first: the filter on the copies below would take the whole classifier along, many times over
+    path = f"{shared_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = _with_rates(docs.sparkSession.read.parquet(path), mixer, PULL)
     chance = F.pmod(F.xxhash64(f"in_{id}", f"in_{text}"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     rows = rows.withColumn("copies", copies).where("copies > 0")
