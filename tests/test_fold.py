@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import IndexError_
 from recordloom.operators import fold
+from recordloom.plans import catalog
 from recordloom.schema import MUTATIONS, RECORDS
 
 
@@ -83,3 +84,20 @@ def test_lag_counts_what_the_buffer_lost(spark):
     feed = fold.feed(frame(spark, [(i, "U", f"u{i}", "p", i) for i in range(100)]))
     assert fold.lag(feed, 32).first()["skipped"] == 68
     assert fold.replayed(feed, 32).agg(F.min("seq")).first()[0] == 68
+
+
+def test_replayed_logs_match_the_fold_of_log_and_replay_step_by_step(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalog.mutations(spark, sf).collect()
+    log = sorted((r["seq"], r["op"], r["uri"], r["record_json"], r["indexed_at"]) for r in rows)
+    again = [(seq + 2000000, *rest) for seq, *rest in log]
+    once, twice = folded(log)[0], folded(log + again)[0]
+    assert seen(catalog.QUERIES["fold_log_and_replay"](spark, sf)) == twice != once
+    assert seen(fold.fold(catalog.mutations(spark, sf), fold.fold(catalog.mutations(spark, sf)))) == twice
+
+
+def test_a_delete_before_its_create_takes_effect_on_replay(spark):
+    log = [(0, "D", "at://x", "p0", 50), (1, "U", "at://x", "p1", 40)]
+    first = fold.fold(frame(spark, log))
+    assert seen(first)["at://x"] == ("p1", 40, False)
+    assert seen(fold.fold(frame(spark, log), first))["at://x"] == ("p1", 50, True)
