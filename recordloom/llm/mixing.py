@@ -16,13 +16,23 @@
    those rows, which carry their rates along, and the driver keeps a few numbers for each turn. A
    document's rate is those turns replayed on its posterior, so applying the fit to texts needs no
    join, and nothing but the numbers has to survive a lost executor.
+3. If the turns end before the targets are met, the fit is taken to its optimum. There a rate is
+   max(0, 1 - sum_k p_ik e_k / pull) for relative errors e, which are the minimum of
+
+       sum_k t_k (e_k + e_k^2 / 2)  +  pull/2 sum_i n_i max(0, 1 - sum_k p_ik e_k / pull)^2
+
+   Newton steps on these few numbers find it, each one aggregation over the same rows, and one turn
+   from rate 1 replays it. Errors that are left then are those that no rates undo without more pull
+   than they are worth, as for a domain that the documents hardly hold: they are in ``Mixer.errors``,
+   and ``fit`` warns of them.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,6 +46,8 @@ BUCKETS, TRAIN = 8192, 20000
 TURNS, ENOUGH, PULL = 60, 1e-4, 1e-3
 #: Steps of a posterior from 0 to 1, and turns after which the rates so far are written down.
 GRID, WRITE = 256, 10
+#: Relative residual at which the optimum counts as found, and relative error of a domain that is warned of.
+SETTLED, MISSED = 1e-6, 0.02
 #: Log-odds of a document grow with the root of its length: words of a text are not independent.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,6 +60,7 @@ class Mixer:
     prior: list[float]  # log
     turns: list[list[float]]  # relative errors by domain, turn by turn
     step: float
+    errors: list[float] = field(default_factory=list)  # relative errors by domain that the rates leave
 
 
 def _words(text: Column) -> Column:
@@ -140,6 +153,36 @@ def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: st
     return Mixer(domains, logs[0] - logs[0].mean(0), logs[1], prior, [], 0.0)
 
 
+def _optimum(weighty: DataFrame, wanted: np.ndarray, pull: float, start: list[float]) -> list[float]:
+    """The relative errors at the optimum of the rates, by Newton steps from ``start``; an error if they do not settle."""
+    k = len(wanted)
+
+    def at(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Height, slope and curve of the function that the errors minimise."""
+        rate = F.lit(1.0) - sum((F.col("__p")[j] * float(x / pull) for j, x in enumerate(e)), F.lit(0.0))
+        rows = weighty.select("__n", "__p", rate.alias("__r")).where("__r > 0")
+        total = lambda c: F.coalesce(F.sum(F.col("__n") * c), F.lit(0.0))
+        p = [F.col("__p")[j] for j in range(k)]
+        pairs = [(a, b) for a in range(k) for b in range(a, k)]
+        sums = rows.agg(total(F.col("__r") * F.col("__r")), *[total(F.col("__r") * x) for x in p], *[total(p[a] * p[b]) for a, b in pairs]).first()
+        curve = np.diag(wanted.astype(float))
+        for (a, b), x in zip(pairs, sums[1 + k :]):
+            curve[[a, b], [b, a]] += x / pull
+        return float(wanted @ (e + e * e / 2)) + pull / 2 * sums[0], wanted * (1 + e) - np.array(sums[1 : 1 + k]), curve
+
+    e = np.array(start, float)
+    height, slope, curve = at(e)
+    while np.abs(slope / wanted).max() > SETTLED:
+        move, part = -np.linalg.solve(curve, slope), 1.0
+        while (new := at(e + part * move))[0] > height + 1e-4 * part * float(slope @ move) and np.abs(new[1] / wanted).max() > SETTLED:
+            part /= 2
+            if part < 1e-12:
+                raise ArithmeticError("the rates do not settle")
+        e = e + part * move
+        height, slope, curve = new
+    return [float(x) for x in e]
+
+
 def fit(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text",
     turns: int = TURNS, enough: float = ENOUGH, pull: float = PULL,
@@ -149,7 +192,8 @@ def fit(
     ``labelled`` has (id, domain); ``targets`` gives each domain's share of the tokens, which are
     normalised; the total stays that of ``docs``. Documents that are labelled more than once have
     the smallest of their domains. Without labels all posteriors are the prior; without tokens all
-    rates are 1.
+    rates are 1. The descent ends where all errors are below ``enough``, or at the optimum; the errors
+    left are in ``Mixer.errors``.
     """
     domains = sorted(targets)
     mixer = _classifier(docs, labelled, domains, id, text)
@@ -177,6 +221,15 @@ def fit(
             if max(map(abs, errors)) < enough:
                 break
             mixer.turns.append(errors)
+        else:
+            if pull <= 0:
+                raise ArithmeticError(f"the targets are not met after {turns} turns, and without a pull there is no one optimum")
+            errors = _optimum(weighty, wanted, pull, errors if turns else [0.0] * k)
+            mixer.turns = [[e / (pull * mixer.step) for e in errors]]
+        mixer.errors = errors
+        missed = {d: round(e, 4) for d, e in zip(domains, errors) if abs(e) > MISSED}
+        if missed:
+            warnings.warn(f"mixing: relative errors that the best rates leave: {missed}", stacklevel=2)
     return mixer, _with_rates(base, mixer, pull)
 
 

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import ann, mixing, preference, pu_learning, quality, queries, toxicity, transport_stream
@@ -130,3 +131,22 @@ def test_mixing_of_odd_rows(spark):
     assert rated.count() == 4 and {r["p_x"] for r in rated.collect()} == {0.5}
     assert mixing.mixed(docs, mixer).columns == docs.columns
     assert mixing.fit(docs.limit(0), none, {"x": 1, "y": 1})[1].count() == 0
+
+
+def test_rates_end_at_the_optimum_where_a_target_is_out_of_reach(spark):
+    few, many = "rust rot ruin", "clear plain words that say what they mean"
+    rows = [(i, few if i < 2 else f"{many} {many}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "b" if i < 2 else "a") for i in range(0, 400)], "id long, domain string")
+    targets = {"a": 0.2, "b": 0.8}
+    with pytest.warns(UserWarning, match="relative errors"):
+        mixer, rated = mixing.fit(docs, labels, targets)
+    found = rated.collect()
+    n = np.array([r["n_tokens"] for r in found], float)
+    p = np.array([[r["p_a"], r["p_b"]] for r in found])
+    rate = np.array([r["rate"] for r in found])
+    wanted = np.array([0.2, 0.8]) * n.sum()
+    left = (n * rate) @ p / wanted - 1
+    assert np.allclose(mixer.errors, left, atol=1e-4) and np.abs(left).max() > mixing.MISSED
+    # a step of the descent from the optimum changes nothing
+    assert np.allclose(rate, np.maximum(0, 1 - p @ left / mixing.PULL), rtol=1e-3, atol=0.05)
