@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.errors import IndexError_
@@ -80,6 +80,20 @@ class RecordQuery:
     def include_deleted(self, yes: bool = True) -> RecordQuery:
         return replace(self, deleted=yes)
 
+    def _order(self) -> list[Column]:
+        keys: list[Column] = []
+        for column, descending in self.keys:
+            if column in SORTABLE:
+                keys.append(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first())
+            else:
+                keys += TypedKey.of(F.col("record_json"), column).order(descending)
+        return keys
+
+    def pages(self, size: int) -> DataFrame:
+        """All rows with ``page``, from 0 on: the pages of ``size`` rows that a paging loop to exhaustion would read."""
+        number = F.row_number().over(Window.orderBy(*self._order(), F.col("uri")))
+        return self.dataframe().withColumn("page", F.floor((number - 1) / size).cast("long"))
+
     def dataframe(self) -> DataFrame:
         """The plan. Paging and ties are made repeatable by the URI as the last key."""
         name = (self.collection_name or "").strip()
@@ -95,12 +109,7 @@ class RecordQuery:
         document = F.col("record_json")
         for clause in self.clauses:
             rows = rows.where(predicate(document, *clause))
-        keys: list[Column] = []
-        for column, descending in self.keys:
-            if column in SORTABLE:
-                keys.append(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first())
-            else:
-                keys += TypedKey.of(document, column).order(descending)
+        keys = self._order()
         if keys or self.most is not None or self.skip is not None:
             rows = rows.orderBy(*keys, F.col("uri"))
         if self.skip is not None:

@@ -192,6 +192,12 @@ def paging_all_pages(spark, sf_dir):
     return pages[0].union(pages[1]).union(pages[2])
 
 
+@query("paging_to_exhaustion", f"WITH {R} SELECT uri, (row_number() OVER (ORDER BY uri) - 1) // 40 AS page FROM r WHERE collection = '{PURCHASE}' AND NOT is_deleted")
+def paging_to_exhaustion(spark, sf_dir):
+    """Every active row of the collection with its page (``paging_all_pages`` reads the first three pages)."""
+    return RecordQuery(records(spark, sf_dir)).collection(PURCHASE).order_by("uri").pages(40).select("uri", "page")
+
+
 # -- fold
 
 

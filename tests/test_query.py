@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.errors import IndexError_
 from recordloom.functions.jsonpath import TypedKey, normalise_path
 from recordloom.operators.query import RecordQuery, predicate
+from recordloom.plans import catalog
 from recordloom.schema import RECORDS
 
 DOCS = [
@@ -85,3 +86,12 @@ def test_filters_reach_the_scan(spark, records, tmp_path):
     records.write.partitionBy("collection").parquet(str(tmp_path / "r"))
     plan = RecordQuery(spark.read.parquet(str(tmp_path / "r"))).collection("c").did("d1").dataframe()._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(collection" in plan and "EqualTo(did,d1)" in plan
+
+
+def test_pages_to_exhaustion_are_disjoint_and_complete(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {}
+    for r in catalog.QUERIES["paging_to_exhaustion"](spark, sf).collect():
+        pages.setdefault(r["page"], []).append(r["uri"])
+    uris = sorted(r["uri"] for r in catalog.QUERIES["scan_collection"](spark, sf).collect())
+    assert len(uris) > 120 and {n: sorted(page) for n, page in pages.items()} == {i // 40: uris[i : i + 40] for i in range(0, len(uris), 40)}
