@@ -375,6 +375,17 @@ def tid_invalid(spark, sf_dir):
     return rows.select("event_id", identifiers.tid_micros(bad).alias("micros"))
 
 
+@query("tid_invalid_of_each", "SELECT event_id, form, CAST(NULL AS BIGINT) AS micros FROM events, range(5) AS forms(form)")
+def tid_invalid_of_each(spark, sf_dir):
+    """Five bad identifiers made of each event's real one (``tid_invalid`` reads literal ones, for 100 events)."""
+    tid = F.col("tid")
+    cut = F.substring(tid, 1, 12)
+    bad = F.array(cut, F.concat(F.upper(cut), F.lit("A")), F.concat(cut, F.lit("1")), F.concat(tid, F.lit("\n")), F.concat(F.lit("z"), F.substring(tid, 2, 12)))
+    rows = table(spark, sf_dir, "events").select("event_id", identifiers.tid_encode(timefmt.epoch_micros("ts")).alias("tid"))
+    rows = rows.select("event_id", F.posexplode(bad).alias("form", "bad"))
+    return rows.select("event_id", F.col("form").cast("long").alias("form"), identifiers.tid_micros("bad").alias("micros"))
+
+
 @query("iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS secs FROM events")
 def iso_times(spark, sf_dir):
     micros = timefmt.epoch_micros("ts")
