@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is heavy if it holds more than one of so many parts of the rows; so there are fewer than HEAVY such keys.
+HEAVY = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Only Spark's reader touches the path."""
@@ -14,22 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one named in ``spark.checkpoint.dir``.
+    """The folder that all executors share: the one set on the context, or named in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a folder on the context exists (local tests) is a temporary
-    one taken.
+    Where neither is there, local mode (one process, as in tests) takes a temporary folder; on a cluster
+    no folder of one machine would do, and an error says so.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared folder and read again: its lineage is cut, a lost executor loses nothing.
+
+    The tables stay there, as results that are not yet computed may read them; the folder is the cluster's to clear.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_join(rows: DataFrame, values: DataFrame, keys: Sequence[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values``, which have one row for each key and in ``count`` how many rows hold it.
+
+    Keys that hold more than a HEAVYth of all rows are fewer than HEAVY, so their values are sent to every
+    task; the other rows meet theirs in a shuffle, in which no key is large. Both sides are read
+    twice, so they should be tables. ``how`` is inner or left; keys must not be null.
+    """
+    keys = list(keys)
+    total = values.agg(F.sum(count)).first()[0] or 0
+    heavy = values.where(F.col(count) > total / HEAVY)
+    hot = rows.join(F.broadcast(heavy), keys)
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(values.where(F.col(count) <= total / HEAVY), keys, how)
+    return hot.unionByName(cold)
 
 
 def held_out(doc_id: Column) -> Column:

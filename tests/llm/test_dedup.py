@@ -62,7 +62,7 @@ def test_large_families_and_common_passages(spark):
             docs.append(copy[: rng.choice((120, 120, 118, 104))])
     docs += [rng.choice(passages) + [word() for _ in range(rng.choice((2, 20, 60)))] for _ in range(120)]
     rng.shuffle(docs)
-    check(spark, [(i, " ".join(d)) for i, d in enumerate(docs)], 85)
+    check(spark, [(i, " ".join(d)) for i, d in enumerate(docs)], 80)
 
 
 def test_small_and_missing_texts(spark):
@@ -73,6 +73,41 @@ def test_small_and_missing_texts(spark):
     assert near_dup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_copies_near_copies_and_cuttings_of_one_document(spark):
+    """A third exact copies of one text, many near copies of another, many cuttings of a long one, one common passage."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    long = [word() for _ in range(700)]
+    cuttings = []
+    for _ in range(250):
+        begin, size = rng.randrange(400), rng.choice((60, 90, 110, 130, 150, 300))
+        cuttings.append(long[begin : begin + size] + [word() for _ in range(rng.choice((0, 0, 3)))])
+    base, passage = [word() for _ in range(100)], [word() for _ in range(30)]
+    near = []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(100)] = word()
+        near.append(copy)
+    mixed = [passage + [word() for _ in range(rng.choice((1, 4, 5, 6, 7, 40)))] for _ in range(200)]
+    docs = [" ".join(d) for d in cuttings + near + mixed] + [" ".join(base[:50])] * 3000
+    rng.shuffle(docs)
+    check(spark, list(enumerate(docs)), 85)
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    rows = [(3, "a b c"), (5, "a b c"), (5, "x y z"), (4, "x y z"), (9, "q r s"), (9, "q r s"), (8, None), (8, "l m n"), (2, "l m n")]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found.collect() if r["n_shingles"]} == {
+        (3, 3, True), (5, 3, False), (4, 3, False), (9, 9, True), (8, 2, False), (2, 2, True),
+    }
+
+
+def test_what_is_asked_of_sketches_is_missed_by_less_than_one_in_a_million_million():
+    for percent, values, least in ((80, 32, 7), (85, 32, 10), (80, 64, 26), (85, 64, 30), (100, 32, 32)):
+        assert near_dup.least_shared(values, percent) == least
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)] + [(7, 7), (None, 3)]
