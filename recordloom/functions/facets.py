@@ -47,7 +47,7 @@ def links(text: str | None) -> list[dict]:
 
 
 def link_facets(text: Column) -> Column:
-    """Array of (byteStart, byteEnd, uri); empty for null. Texts without ``://`` never reach Python's pattern."""
+    """Array of (byteStart, byteEnd, uri); empty for null. Of texts without ``://`` nothing is sent to Python."""
     kind = pa.list_(pa.struct([("byteStart", pa.int32()), ("byteEnd", pa.int32()), ("uri", pa.string())]))
 
     @F.arrow_udf("array<struct<byteStart: int, byteEnd: int, uri: string>>")
@@ -55,7 +55,8 @@ def link_facets(text: Column) -> Column:
         for batch in batches:
             yield pa.array([links(t) if t and "://" in t else [] for t in batch.to_pylist()], kind)
 
-    return found(text)
+    none = F.array().cast("array<struct<byteStart: int, byteEnd: int, uri: string>>")
+    return F.when(F.coalesce(F.contains(text, F.lit("://")), F.lit(False)), found(F.when(F.contains(text, F.lit("://")), text))).otherwise(none)
 
 
 def message_payload(text: Column) -> Column:

@@ -57,15 +57,26 @@ class TypedKey:
     def of(cls, document: Column, path: str) -> TypedKey:
         where = quoted_path(path)
         if where is None:
-            nothing = F.lit(None)
-            return cls(nothing.cast("int"), nothing.cast("decimal(38,18)"), nothing.cast("double"), nothing.cast("string"))
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), where, "variant"))
-        raw = F.get_json_object(document, where)
+            return cls.nothing()
+        return cls.over(F.try_variant_get(F.try_parse_json(document), where, "variant"), document, where)
+
+    @classmethod
+    def nothing(cls) -> TypedKey:
+        none = F.lit(None)
+        return cls(none.cast("int"), none.cast("decimal(38,18)"), none.cast("double"), none.cast("string"))
+
+    @classmethod
+    def over(cls, item: Column, document: Column, where: str, kind: Column | None = None) -> TypedKey:
+        """Of a variant that was taken from ``where`` in the document; the document itself is read again only for
+        the text of numbers and nested values. ``kind``: the type of the variant, if it is known."""
+        kind = F.schema_of_variant(item) if kind is None else kind
         number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        class_ = F.when(kind.isNull() | (kind == "VOID"), None).when(number | (kind == "BOOLEAN"), 1).otherwise(2)
-        text = F.when(kind == "BOOLEAN", F.when(raw == "true", "1").otherwise("0")).otherwise(raw)
-        only = F.when(class_ == 1, text)
-        return cls(class_, only.try_cast("decimal(38,18)"), only.try_cast("double"), text)
+        truth = kind == "BOOLEAN"
+        class_ = F.when(kind.isNull() | (kind == "VOID"), None).when(number | truth, 1).otherwise(2)
+        string = F.try_variant_get(item, "$", "string")
+        text = F.when(kind == "STRING", string).when(truth, F.when(string == "true", "1").otherwise("0")).otherwise(F.get_json_object(document, where))
+        as_ = lambda t: F.when(truth, F.when(string == "true", 1).otherwise(0).cast(t)).when(number, F.try_variant_get(item, "$", t))
+        return cls(class_, as_("decimal(38,18)"), as_("double"), text)
 
     def order(self, descending: bool) -> list[Column]:
         """Null first when rising and last when falling; numbers before text."""

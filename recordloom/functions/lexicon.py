@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordloom.functions.identifiers import trimmed
+
 #: Fixed values of the protocol.
 MENTION = "app.bsky.richtext.facet#mention"
 EMBED_RECORD = "app.bsky.embed.record"
@@ -13,12 +15,10 @@ EMBED_IMAGES = "app.bsky.embed.images"
 EMBED_GALLERY = "app.bsky.embed.gallery"
 MODERATION_LIST = "app.bsky.graph.defs#modlist"
 DELETED_MESSAGE = "#deletedMessageView"
-#: Self-labels that mark adult content.
+#: Self-labels that mark adult content: fixed values.
 ADULT_LABELS = ("porn", "sexual", "nudity", "graphic-media", "graphic", "adult", "nsfw", "suggestive", "gore", "corpse")
 
 _FACETS = "array<struct<features: array<struct<`$type`: string, did: string, uri: string, tag: string>>>>"
-_IMAGE = "struct<cid: string, ref: struct<`$link`: string>>"
-_ITEMS = f"array<struct<alt: string, cid: string, image: {_IMAGE}, media: struct<alt: string, image: {_IMAGE}>>>"
 
 
 def mentioned_dids(facets_json: Column) -> Column:
@@ -45,47 +45,72 @@ def is_quote(embed_json: Column) -> Column:
     return F.coalesce(F.get_json_object(embed_json, "$['$type']").isin(EMBED_RECORD, EMBED_WITH_MEDIA), F.lit(False))
 
 
-def _items(items_json: Column, gallery: bool) -> Column:
-    link = lambda image: F.coalesce(image["ref"]["$link"], image["cid"])
+_NO_IMAGES = "array<struct<cid: string, alt: string>>"
+
+
+def _string(value: Column, path: str) -> Column:
+    """The text at a path of a variant; null for anything but text."""
+    item = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string"))
+
+
+def _there(value: Column, path: str) -> Column:
+    """Whether the path exists, null values included."""
+    return F.try_variant_get(value, path, "variant").isNotNull()
+
+
+def _items(items: Column, gallery: bool) -> Column:
+    """(cid, alt) of each element of an array of variants that names an image; other elements are passed over."""
+
+    def cid(i: Column, image: str) -> Column:
+        return F.coalesce(_string(i, f"{image}.ref['$link']"), _string(i, f"{image}.cid"))
 
     def one(i: Column) -> Column:
-        cid = F.coalesce(link(i["image"]), *([link(i["media"]["image"])] if gallery else []), i["cid"])
-        alt = F.coalesce(i["alt"], *([i["media"]["alt"]] if gallery else []), F.lit(""))
-        return F.struct(cid.alias("cid"), alt.alias("alt"))
+        link, alt = cid(i, "$.image"), _string(i, "$.alt")
+        if gallery:  # the media beside stands in only where the field itself is not there
+            link = F.when(_there(i, "$.image"), link).otherwise(cid(i, "$.media.image"))
+            alt = F.when(_there(i, "$.alt"), alt).otherwise(_string(i, "$.media.alt"))
+        return F.struct(F.coalesce(link, _string(i, "$.cid")).alias("cid"), F.coalesce(alt, F.lit("")).alias("alt"))
 
-    found = F.filter(F.transform(F.from_json(items_json, _ITEMS), one), lambda x: x["cid"].isNotNull() & (x["cid"] != ""))
-    return F.coalesce(found, F.array().cast("array<struct<cid: string, alt: string>>"))
+    found = F.filter(F.transform(items, one), lambda x: x["cid"].isNotNull() & (x["cid"] != ""))
+    return F.coalesce(found, F.array().cast(_NO_IMAGES))
 
 
 def images(embed_json: Column) -> Column:
-    """Array of (cid, alt) of an embed's images: plain, gallery, or the media beside a quoted record."""
-    kind = F.get_json_object(embed_json, "$['$type']")
-    at = lambda path: F.get_json_object(embed_json, path)
-    plain = lambda root: _items(at(f"{root}.images"), False)
-    gallery = lambda root: _items(F.coalesce(at(f"{root}.items"), at(f"{root}.images")), True)
+    """Array of (cid, alt) of an embed's images: plain, gallery, or the media beside a quoted record.
+
+    Media may be a bare array of images. An alternative text that is no text is empty.
+    """
+    embed = F.try_parse_json(embed_json)
+    kind = _string(embed, "$['$type']")
+    many = lambda path: F.try_variant_get(embed, path, "array<variant>")
+
+    def plain(root: str) -> Column:
+        return _items(F.coalesce(many(f"{root}.images"), many(root)), False)
+
+    def gallery(root: str) -> Column:
+        return _items(F.when(_there(embed, f"{root}.items"), many(f"{root}.items")).otherwise(many(f"{root}.images")), True)
+
     media = F.when(F.size(plain("$.media")) > 0, plain("$.media")).otherwise(gallery("$.media"))
-    none = F.array().cast("array<struct<cid: string, alt: string>>")
+    none = F.array().cast(_NO_IMAGES)
     return F.when(kind == EMBED_IMAGES, plain("$")).when(kind == EMBED_GALLERY, gallery("$")).when(kind == EMBED_WITH_MEDIA, media).otherwise(none)
 
 
 def label_values(record_json: Column) -> Column:
     """The self-labels of a record, given as objects or bare strings."""
     values = F.try_variant_get(F.try_parse_json(record_json), "$.labels.values", "array<variant>")
-    found = F.transform(
-        values,
-        lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.val", "string")),
-    )
+    found = F.transform(values, lambda v: F.coalesce(_string(v, "$.val"), _string(v, "$")))
     return F.coalesce(F.filter(found, lambda v: v.isNotNull()), F.array().cast("array<string>"))
 
 
 def has_adult_label(record_json: Column) -> Column:
-    low = lambda v: F.translate(F.trim(v), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = lambda v: F.translate(trimmed(v), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.exists(label_values(record_json), lambda v: low(v).isin(*ADULT_LABELS))
 
 
 def has_label(record_json: Column, label: str) -> Column:
     """Whether a self-label, trimmed, is exactly this one."""
-    return F.exists(label_values(record_json), lambda v: F.trim(v) == label)
+    return F.exists(label_values(record_json), lambda v: trimmed(v) == label)
 
 
 def is_moderation_list(record_json: Column) -> Column:
@@ -93,11 +118,18 @@ def is_moderation_list(record_json: Column) -> Column:
 
 
 def live_message(message_json: Column) -> Column:
-    """The message itself, or null if it is a tombstone or has no text."""
-    kind = F.get_json_object(message_json, "$['$type']")
-    text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(message_json), "$.text", "variant"))
-    gone = F.coalesce(kind.endswith(DELETED_MESSAGE), F.lit(False))
-    return F.when(~gone & (text == "STRING"), message_json)
+    """The message itself, or null if it is a tombstone or no message: id, text, sender's DID and sentAt are texts.
+
+    A revision may be missing, but not be anything else than text; facets are null, missing or an array.
+    """
+    message = F.try_parse_json(message_json)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(message, path, "variant"))
+    gone = F.coalesce(_string(message, "$['$type']").endswith(DELETED_MESSAGE), F.lit(False))
+    fine = [kind(path) == "STRING" for path in ("$.id", "$.text", "$.sender.did", "$.sentAt")]
+    rev, facets = kind("$.rev"), kind("$.facets")
+    fine += [rev.isNull() | (rev == "STRING"), facets.isNull() | (facets == "VOID") | facets.startswith("ARRAY")]
+    whole = F.coalesce(fine[0] & fine[1] & fine[2] & fine[3] & fine[4] & fine[5], F.lit(False))
+    return F.when(~gone & whole, message_json)
 
 
 def live_messages(messages: Column) -> Column:

@@ -10,16 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import identifiers as ids
+from recordloom.functions.once import once
 from recordloom.functions.timefmt import is_valid_time
 
-_EVENT = (
-    "did string, time_us decimal(20,0), kind string, "
-    "commit struct<operation: string, collection: string, rkey: string, cid: string, record: string>"
-)
-
-
-def _kind(value: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+_FIELDS = ("did", "kind", "time_us", "commit", "commit.operation", "commit.collection", "commit.rkey", "commit.cid")
+_U64 = "18446744073709551615"
 
 
 def parsed(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
@@ -28,57 +23,63 @@ def parsed(frames: DataFrame, value: str = "value", now: Column | None = None) -
     event: event_type (commit, heartbeat, other), did, time_us, kind, operation, collection, rkey, cid,
     record_json. ``now`` (microseconds) bounds times, five years ahead; it is the current time if not
     given. Times beyond 63 bits come out as null.
+
+    A text is parsed once, and once more for the record of a commit if that is asked for.
     """
-    text = F.col(value)
-    # one value only: something after it makes this array longer or malformed
-    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    document = F.try_parse_json(text)
+    # as an array: what stands after the frame makes a second element or no array
+    rows = once(frames, "__d", F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]"))))
+    at = lambda path, kind="string": F.try_variant_get("__d", path, kind)
+    types = F.struct(*[F.schema_of_variant(at(f"$[0].{f}", "variant")).alias(f.replace(".", "_")) for f in _FIELDS])
+    fields = F.struct(
+        (F.schema_of_variant(at("$[0]", "variant")).startswith("OBJECT") & at("$[1]", "variant").isNull()).alias("whole"),
+        types.alias("is"),
+        at("$[0].did").alias("did"),
+        at("$[0].kind").alias("kind"),
+        F.coalesce(at("$[0].time_us", "decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("t"),
+        *[at(f"$[0].commit.{f}").alias(f) for f in ("operation", "collection", "rkey", "cid")],
+    )
+    rows = once(rows, "__f", fields)
+    f, is_ = F.col("__f"), F.col("__f.is")
     absent = lambda k: k.isNull() | (k == "VOID")
-    is_text = lambda path: (lambda k: absent(k) | (k == "STRING"))(_kind(document, path))
-    time = _kind(document, "$.time_us")
-    commit = _kind(document, "$.commit")
-    inside = lambda name: (lambda k: k.isNull() | (k == "STRING"))(_kind(document, f"$.commit.{name}"))
-    cid = _kind(document, "$.commit.cid")
-    decoded = F.from_json(text, _EVENT)
-    t = F.coalesce(decoded["time_us"], F.lit(0).cast("decimal(20,0)"))
+    text = lambda k: absent(k) | (k == "STRING")
+    inside = lambda k: k.isNull() | (k == "STRING")
+    time, t = is_["time_us"], f["t"]
     shape = (
-        whole
-        & F.schema_of_variant(document).startswith("OBJECT")
-        & is_text("$.did")
-        & is_text("$.kind")
-        & (absent(time) | (time == "BIGINT") | time.rlike(r"^DECIMAL\(\d+,0\)$"))
-        & (t >= 0)
-        & (t <= F.lit("18446744073709551615").cast("decimal(20,0)"))
-        & (absent(commit) | commit.startswith("OBJECT"))
-        & inside("operation")
-        & inside("collection")
-        & inside("rkey")
-        & (absent(cid) | (cid == "STRING"))
+        f["whole"]
+        & text(is_["did"])
+        & text(is_["kind"])
+        & (absent(time) | (time == "BIGINT") | time.rlike(r"^DECIMAL\((19|20),0\)$"))
+        & t.between(F.lit(0).cast("decimal(20,0)"), F.lit(_U64).cast("decimal(20,0)"))
+        & (absent(is_["commit"]) | is_["commit"].startswith("OBJECT"))
+        & inside(is_["commit_operation"])
+        & inside(is_["commit_collection"])
+        & inside(is_["commit_rkey"])
+        & text(is_["commit_cid"])
     )
-    timely = is_valid_time(t, now)
-    did, c = decoded["did"], decoded["commit"]
-    operation = ids.operation_of(c["operation"])
-    good = ids.is_valid_did(did) & ids.is_valid_collection(c["collection"]) & ids.is_valid_rkey(c["rkey"]) & operation.isNotNull()
-    is_commit = decoded["kind"] == "commit"
+    operation = ids.operation_of(f["operation"])
+    good = ids.is_valid_did(f["did"]) & ids.is_valid_collection(f["collection"]) & ids.is_valid_rkey(f["rkey"]) & operation.isNotNull()
+    is_commit = f["kind"] == "commit"
     kind = (
-        F.when(~F.coalesce(shape & timely, F.lit(False)), None)
+        F.when(~F.coalesce(shape & is_valid_time(t, now), F.lit(False)), None)
         .when(is_commit & F.coalesce(good, F.lit(False)), "commit")
-        .when(is_commit | decoded["kind"].isNull(), F.when(t > 0, "heartbeat"))
+        .when(is_commit | f["kind"].isNull(), F.when(t > 0, "heartbeat"))
         .otherwise(F.when(t > 0, "other"))
     )
-    of_commit = lambda x: F.when(kind == "commit", x)
+    rows = once(rows, "__k", kind)
+    k = F.col("__k")
+    of_commit = lambda x: F.when(k == "commit", x)
     event = F.struct(
-        kind.alias("event_type"),
-        F.when(kind != "heartbeat", ids.trimmed(did)).alias("did"),
+        k.alias("event_type"),
+        F.when(k != "heartbeat", ids.trimmed(f["did"])).alias("did"),
         t.try_cast("long").alias("time_us"),
-        F.when(kind == "other", decoded["kind"]).alias("kind"),
+        F.when(k == "other", f["kind"]).alias("kind"),
         of_commit(operation).alias("operation"),
-        of_commit(ids.trimmed(c["collection"])).alias("collection"),
-        of_commit(c["rkey"]).alias("rkey"),
-        of_commit(c["cid"]).alias("cid"),
-        of_commit(c["record"]).alias("record_json"),
+        of_commit(ids.trimmed(f["collection"])).alias("collection"),
+        of_commit(f["rkey"]).alias("rkey"),
+        of_commit(f["cid"]).alias("cid"),
+        of_commit(F.get_json_object(value, "$.commit.record")).alias("record_json"),
     )
-    return frames.withColumn("event", event).where("event.event_type is not null")
+    return rows.where(k.isNotNull()).withColumn("event", event).drop("__d", "__f", "__k")
 
 
 def wanted(events: DataFrame, collections: list[str] = (), dids: list[str] = ()) -> DataFrame:

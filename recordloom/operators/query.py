@@ -6,18 +6,21 @@ does. Equality on collection and DID reaches the Parquet scan; order with a limi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.errors import IndexError_
-from recordloom.functions.jsonpath import TypedKey, ascii_lower, compare, like_regex, literal_of, normalise_path
+from recordloom.functions.jsonpath import TypedKey, ascii_lower, compare, like_regex, literal_of, normalise_path, quoted_path
+from recordloom.functions.once import once
 from recordloom.schema import RECORD_COLUMNS
 
 COMPARISONS = {"eq": "=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 SORTABLE = ("indexed_at", "uri", "did", "collection", "rkey", "cid")
-_MOST = (1 << 31) - 1
+#: The largest limit and offset given to Spark at once: the sum of two may not pass 31 bits.
+_MOST = (1 << 30) - 1
 
 
 def predicate(document: Column, path: str, op: str, value) -> Column:
@@ -27,7 +30,11 @@ def predicate(document: Column, path: str, op: str, value) -> Column:
     comparisons never hold there. Every number is less than every text. ``contains`` and ``like``
     ignore the case of A-Z only; ``%`` and ``_`` are wildcards in ``like``.
     """
-    key = TypedKey.of(document, path)
+    return condition(TypedKey.of(document, path), op, value)
+
+
+def condition(key: TypedKey, op: str, value) -> Column:
+    """``predicate`` on a key."""
     if op in ("eq", "ne") and value is None:
         return key.cls.isNull() if op == "eq" else key.cls.isNotNull()
     if op == "ne":
@@ -57,6 +64,7 @@ class RecordQuery:
     most: int | None = None
     skip: int | None = None
     deleted: bool = False
+    last_uri: str | None = None
 
     def collection(self, name: str) -> RecordQuery:
         return replace(self, collection_name=name)
@@ -80,22 +88,36 @@ class RecordQuery:
     def include_deleted(self, yes: bool = True) -> RecordQuery:
         return replace(self, deleted=yes)
 
-    def _order(self) -> list[Column]:
+    def _keyed(self, rows: DataFrame) -> tuple[DataFrame, Callable[[str], TypedKey]]:
+        """``rows`` with the value at each JSON path that is asked for, all out of one parse, and the keys over them."""
+        paths = {path: quoted_path(path) for path in [p for p, _, _ in self.clauses] + [c for c, _ in self.keys if c not in SORTABLE]}
+        found = list(dict.fromkeys(p for p in paths.values() if p is not None))
+        if not found:
+            return rows, lambda path: TypedKey.nothing()
+        document = F.col("record_json")
+        rows = once(rows, "__v", F.try_parse_json(document))
+        rows = once(rows, "__items", F.struct(*[F.try_variant_get("__v", p, "variant").alias(f"i{n}") for n, p in enumerate(found)]))
+        rows = once(rows, "__kinds", F.struct(*[F.schema_of_variant(F.col(f"__items.i{n}")).alias(f"k{n}") for n in range(len(found))]))
+
+        def key(path: str) -> TypedKey:
+            if paths[path] is None:
+                return TypedKey.nothing()
+            n = found.index(paths[path])
+            return TypedKey.over(F.col(f"__items.i{n}"), document, paths[path], F.col(f"__kinds.k{n}"))
+
+        return rows, key
+
+    def _order(self, key: Callable[[str], TypedKey]) -> list[Column]:
         keys: list[Column] = []
         for column, descending in self.keys:
             if column in SORTABLE:
                 keys.append(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first())
             else:
-                keys += TypedKey.of(F.col("record_json"), column).order(descending)
+                keys += key(column).order(descending)
         return keys
 
-    def pages(self, size: int) -> DataFrame:
-        """All rows with ``page``, from 0 on: the pages of ``size`` rows that a paging loop to exhaustion would read."""
-        number = F.row_number().over(Window.orderBy(*self._order(), F.col("uri")))
-        return self.dataframe().withColumn("page", F.floor((number - 1) / size).cast("long"))
-
-    def dataframe(self) -> DataFrame:
-        """The plan. Paging and ties are made repeatable by the URI as the last key."""
+    def _rows(self) -> tuple[DataFrame, list[Column]]:
+        """The rows of the query and the keys of their order."""
         name = (self.collection_name or "").strip()
         if not name:
             raise IndexError_("a query needs a collection")
@@ -106,14 +128,48 @@ class RecordQuery:
             rows = rows.where(~F.col("is_deleted"))
         if self.did_name is not None:
             rows = rows.where(F.col("did") == self.did_name.strip())
-        document = F.col("record_json")
-        for clause in self.clauses:
-            rows = rows.where(predicate(document, *clause))
-        keys = self._order()
-        if keys or self.most is not None or self.skip is not None:
-            rows = rows.orderBy(*keys, F.col("uri"))
-        if self.skip is not None:
-            rows = rows.offset(min(self.skip, _MOST))
-        if self.most is not None:
-            rows = rows.limit(min(self.most, _MOST))
-        return rows.select(*RECORD_COLUMNS)
+        if self.last_uri is not None:
+            rows = rows.where(F.col("uri") > self.last_uri)
+        rows, key = self._keyed(rows)
+        for path, op, value in self.clauses:
+            rows = rows.where(condition(key(path), op, value))
+        return rows, self._order(key)
+
+    def after(self, uri: str) -> RecordQuery:
+        """Only rows of a larger URI: the next page of rows in the order of their URIs costs no more than the first."""
+        return replace(self, last_uri=uri)
+
+    def pages(self, size: int) -> DataFrame:
+        """All rows with ``page``, from 0 on: the pages of ``size`` rows that a paging loop to exhaustion would read."""
+        rows, keys = self._rows()
+        number = F.sum(F.lit(1).cast("long")).over(Window.orderBy(*keys, F.col("uri")).rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("page", F.floor((number - 1) / size).cast("long"))
+        return _paged(rows, keys, self.skip, self.most).select(*RECORD_COLUMNS, "page")
+
+    def dataframe(self) -> DataFrame:
+        """The plan. Paging and ties are made repeatable by the URI as the last key."""
+        rows, keys = self._rows()
+        return _paged(rows, keys, self.skip, self.most).select(*RECORD_COLUMNS)
+
+
+def _paged(rows: DataFrame, keys: list[Column], skip: int | None, most: int | None) -> DataFrame:
+    """The rows in order without the first ``skip``, at most ``most``: any numbers, though Spark's are of 31 bits."""
+    if keys or most is not None or skip is not None:
+        rows = rows.orderBy(*keys, F.col("uri"))
+    skip = skip or 0
+    while skip > _MOST:
+        rows, skip = once(rows.offset(_MOST), "__skipped", F.lit(0)).drop("__skipped"), skip - _MOST
+    if skip:
+        rows = rows.offset(skip)
+    if most is None:
+        return rows
+    out = rows.limit(min(most, _MOST))
+    if most > _MOST:
+        out = out.union(_paged_on(rows, most - _MOST))
+    return out
+
+
+def _paged_on(rows: DataFrame, most: int) -> DataFrame:
+    """The rows after the first _MOST, at most ``most``."""
+    rows = once(rows.offset(_MOST), "__skipped", F.lit(0)).drop("__skipped")
+    return rows.limit(most) if most <= _MOST else rows.limit(_MOST).union(_paged_on(rows, most - _MOST))

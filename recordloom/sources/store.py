@@ -20,6 +20,18 @@ from recordloom.schema import RECORD_COLUMNS, RECORDS
 CURSOR = "cursor"
 
 
+def lookup(records: DataFrame, uri: str, include_deleted: bool = False) -> DataFrame:
+    """The record of this URI, at most one row; a tombstone only with ``include_deleted``.
+
+    The collection is cut out of the URI, so that of a table partitioned by it one part is read.
+    """
+    rows = records.where(F.col("uri") == uri)
+    parts = uri.split("/")
+    if len(parts) == 5:
+        rows = rows.where(F.col("collection") == parts[3])
+    return (rows if include_deleted else rows.where(~F.col("is_deleted"))).limit(1)
+
+
 class RecordStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -91,8 +103,7 @@ class RecordStore:
 
     def get(self, uri: str, include_deleted: bool = False) -> DataFrame:
         """At most one row."""
-        rows = self.records().where(F.col("uri") == uri)
-        return (rows if include_deleted else rows.where("not is_deleted")).limit(1)
+        return lookup(self.records(), uri, include_deleted)
 
     def query(self) -> RecordQuery:
         return RecordQuery(self.records())

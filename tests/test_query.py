@@ -95,3 +95,37 @@ def test_pages_to_exhaustion_are_disjoint_and_complete(spark):
         pages.setdefault(r["page"], []).append(r["uri"])
     uris = sorted(r["uri"] for r in catalog.QUERIES["scan_collection"](spark, sf).collect())
     assert len(uris) > 120 and {n: sorted(page) for n, page in pages.items()} == {i // 40: uris[i : i + 40] for i in range(0, len(uris), 40)}
+
+
+def test_limits_beyond_31_bits(records, monkeypatch):
+    from recordloom.operators import query
+
+    q = RecordQuery(records).collection("c").order_by("index")
+    every = [r["uri"] for r in q.dataframe().collect()]
+    assert [r["uri"] for r in q.limit((1 << 32) - 1).offset(3).dataframe().collect()] == every[3:]
+    assert q.offset((1 << 32) - 1).limit((1 << 32) - 1).dataframe().count() == 0
+    monkeypatch.setattr(query, "_MOST", 10)  # as if Spark took no larger number
+    for skip, most in ((0, 5), (0, 10), (3, 25), (11, 31), (35, 200), (300, 12), (20, 1)):
+        assert [r["uri"] for r in q.limit(most).offset(skip).dataframe().collect()] == every[skip : skip + most]
+        assert [r["uri"] for r in q.offset(skip).dataframe().collect()] == every[skip:]
+
+
+def test_documents_are_parsed_once(spark):
+    rows = catalog.QUERIES["eight_clauses"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json(") + plan.count("parsejson(") == 1 and plan.count("variant_get(") + plan.count("variantget(") < 60
+
+
+def test_pages_by_the_last_key_are_those_of_offsets(records):
+    q = RecordQuery(records).collection("c").order_by("uri")
+    first = [r["uri"] for r in q.limit(37).dataframe().collect()]
+    assert [r["uri"] for r in q.after(first[-1]).limit(37).dataframe().collect()] == [r["uri"] for r in q.limit(37).offset(37).dataframe().collect()]
+    pages = q.where_json("index", "gte", 100).pages(30).collect()
+    assert sorted(r["uri"] for r in pages) == sorted(r["uri"] for r in q.where_json("index", "gte", 100).dataframe().collect()) and {r["page"] for r in pages} == {0, 1, 2, 3, 4}
+
+
+def test_lookups(records):
+    from recordloom.sources.store import lookup
+
+    assert lookup(records, "at://d1/c/001").first()["rkey"] == "1" and lookup(records, "at://d0/c/000").isEmpty() and lookup(records, "at://d1/x/001").isEmpty()
+    assert lookup(records, "at://d0/c/000", include_deleted=True).count() == 1
