@@ -10,12 +10,11 @@
        1/2 sum_k (S_k - t_k)^2 / (T t_k)  +  pull/2 sum_i (n_i / T) (r_i - 1)^2
 
    Measured by tokens, a document's gradient depends on its posterior alone:
-   sum_k p_ik (S_k - t_k) / t_k + pull * (r_i - 1). Posteriors are given in steps of 1 / GRID, so all
-   documents are first summed up to one row of tokens for each posterior: some ten thousands of rows
-   for three domains, however many documents there are. A turn is one aggregation of a few sums over
-   those rows, which carry their rates along, and the driver keeps a few numbers for each turn. A
-   document's rate is those turns replayed on its posterior, so applying the fit to texts needs no
-   join, and nothing but the numbers has to survive a lost executor.
+   sum_k p_ik (S_k - t_k) / t_k + pull * (r_i - 1). Posteriors are measured once and written down
+   beside the token counts; a turn is one aggregation of a few sums over those narrow rows, and the
+   driver keeps a few numbers for each turn. A document's rate is those turns replayed on its
+   posterior, so applying the fit to texts needs no join, and nothing but the numbers has to survive
+   a lost executor.
 3. If the turns end before the targets are met, the fit is taken to its optimum. There a rate is
    max(0, 1 - sum_k p_ik e_k / pull) for relative errors e, which are the minimum of
 
@@ -30,7 +29,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 import warnings
 from dataclasses import dataclass, field
 
@@ -38,14 +36,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import durable, shared_folder
+from recordloom.llm.common import durable
 
 #: Feature buckets, and labelled documents to count at most.
 BUCKETS, TRAIN = 8192, 20000
 #: Turns at most, relative error to stop at, and the pull to rate 1.
-TURNS, ENOUGH, PULL = 60, 1e-4, 1e-3
-#: Steps of a posterior from 0 to 1, and turns after which the rates so far are written down.
-GRID, WRITE = 256, 10
+TURNS, ENOUGH, PULL = 24, 1e-4, 1e-3
 #: Relative residual at which the optimum counts as found, and relative error of a domain that is warned of.
 SETTLED, MISSED = 1e-6, 0.02
 #: Log-odds of a document grow with the root of its length: words of a text are not independent.
@@ -61,6 +57,7 @@ class Mixer:
     turns: list[list[float]]  # relative errors by domain, turn by turn
     step: float
     errors: list[float] = field(default_factory=list)  # relative errors by domain that the rates leave
+    met: bool = True  # whether all of them are below what was asked for; if not, the rates are the optimum with the pull
 
 
 def _words(text: Column) -> Column:
@@ -107,29 +104,18 @@ def _measured(docs: DataFrame, text: str, mixer: Mixer) -> DataFrame:
     rows = rows.withColumn("__z", F.array(*logits)).withColumn("__top", F.array_max("__z"))
     rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.col("__top"))))
     rows = rows.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda s, x: s + x))
-    # the sums of the first posteriors are rounded, not each one: then all are 0 or more and add up to 1;
-    # made by array functions, as the optimizer would copy the elements of F.array() into every use
-    first = lambda j: F.aggregate(F.slice("__e", F.lit(1), j), F.lit(0.0), lambda s, x: s + x)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(len(mixer.domains))), lambda j: F.round(first(j) / F.col("__t") * GRID))
-    rows = rows.withColumn("__c", steps)
-    rows = rows.withColumn("__p", F.zip_with(F.slice("__c", 2, len(mixer.domains)), F.slice("__c", 1, len(mixer.domains)), lambda x, y: (x - y) / GRID))
-    return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", "__c", *names)
+    rows = rows.withColumn("__p", F.transform("__e", lambda x: x / F.col("__t")))
+    return rows.drop("__words", "__buckets", "__r", "__z", "__top", "__e", "__t", *names)
 
 
-def _rate(posterior: Column, mixer: Mixer, pull: float, start: Column | None = None, since: int = 0) -> Column:
-    """The turns from number ``since`` on replayed on a posterior, from the rate ``start`` or 1."""
-    turns = mixer.turns[since:]
-    start = F.lit(1.0) if start is None else start
-    if not turns:
-        return start
-    k = len(mixer.domains)
-    flat = _array([x for turn in turns for x in turn])
-
-    def step(rate: Column, i: Column) -> Column:
-        slope = sum((posterior[j] * flat[i * k + j] for j in range(k)), F.lit(pull) * (rate - 1.0))
-        return F.greatest(F.lit(0.0), rate - mixer.step * slope)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(turns) - 1)), start, step)
+def _rate(posterior: Column, mixer: Mixer, pull: float) -> Column:
+    """The turns replayed on a posterior from rate 1 on: each names the rate before it once, so they nest in line."""
+    kept = 1.0 - mixer.step * pull
+    rate = F.lit(1.0)
+    for turn in mixer.turns:
+        slope = sum((posterior[j] * float(e * mixer.step) for j, e in enumerate(turn)), F.lit(kept - 1.0))
+        rate = F.greatest(F.lit(0.0), rate * kept - slope)
+    return rate
 
 
 def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: str, text: str) -> Mixer:
@@ -185,22 +171,23 @@ def _optimum(weighty: DataFrame, wanted: np.ndarray, pull: float, start: list[fl
 
 def fit(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text",
-    turns: int = TURNS, enough: float = ENOUGH, pull: float = PULL,
+    turns: int = TURNS, enough: float = ENOUGH, pull: float = PULL, keep_text: bool = False,
 ) -> tuple[Mixer, DataFrame]:
-    """Classifier and rates for ``docs``, and ``docs`` without the text but with what ``with_rates`` adds.
+    """Classifier and rates for ``docs``, and ``docs`` with what ``with_rates`` adds, without the text unless ``keep_text``.
 
     ``labelled`` has (id, domain); ``targets`` gives each domain's share of the tokens, which are
     normalised; the total stays that of ``docs``. Documents that are labelled more than once have
     the smallest of their domains. Without labels all posteriors are the prior; without tokens all
-    rates are 1. The descent ends where all errors are below ``enough``, or at the optimum; the errors
-    left are in ``Mixer.errors``.
+    rates are 1. The descent ends where all errors are below ``enough`` (``Mixer.met``), or at the
+    optimum; the errors left are in ``Mixer.errors``.
     """
     domains = sorted(targets)
     mixer = _classifier(docs, labelled, domains, id, text)
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
     k = len(domains)
-    base = durable(_measured(docs, text, mixer).drop(text))
-    weighty = durable(base.where("__n > 0").groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__r", F.lit(1.0)))
+    base = _measured(docs, text, mixer)
+    base = durable(base if keep_text else base.drop(text))
+    weighty = base.where("__n > 0").select("__n", "__p")
     moments = weighty.agg(
         F.sum("__n").alias("n"), *[F.sum(F.col("__n") * F.col("__p")[a] * F.col("__p")[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]
     ).first()
@@ -209,13 +196,8 @@ def fit(
         wanted = shares * total
         curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(wanted, wanted))
         mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
-        written = 0
-        for turn in range(turns):
-            rate = _rate(F.col("__p"), mixer, pull, F.col("__r"), written)
-            if turn - written == WRITE:
-                weighty, written = durable(weighty.withColumn("__r", rate)), turn
-                rate = F.col("__r")
-            weighed = weighty.select((F.col("__n") * rate).alias("w"), "__p")
+        for _ in range(turns):
+            weighed = weighty.select((F.col("__n") * _rate(F.col("__p"), mixer, pull)).alias("w"), "__p")
             sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
             errors = [(sums[f"s{j}"] - wanted[j]) / wanted[j] for j in range(k)]
             if max(map(abs, errors)) < enough:
@@ -226,7 +208,7 @@ def fit(
                 raise ArithmeticError(f"the targets are not met after {turns} turns, and without a pull there is no one optimum")
             errors = _optimum(weighty, wanted, pull, errors if turns else [0.0] * k)
             mixer.turns = [[e / (pull * mixer.step) for e in errors]]
-        mixer.errors = errors
+        mixer.errors, mixer.met = errors, max(map(abs, errors)) < enough
         missed = {d: round(e, 4) for d, e in zip(domains, errors) if abs(e) > MISSED}
         if missed:
             warnings.warn(f"mixing: relative errors that the best rates leave: {missed}", stacklevel=2)
@@ -253,12 +235,23 @@ def mixed(docs: DataFrame, mixer: Mixer, id: str = "doc_id", text: str = "text")
 
     The chance is a hash of id and text, so that a rerun gives the same rows. Rows of rate 1 or more stay.
     """
-    columns = docs.columns
-    rows = _measured(docs.select(*[F.col(c).alias(f"in_{c}") for c in columns]), f"in_{text}", mixer)
-    # written first: the filter on the copies below would take the whole classifier along, many times over
-    path = f"{shared_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    rows = _with_rates(docs.sparkSession.read.parquet(path), mixer, PULL)
+    rows = _measured(_aside(docs), f"in_{text}", mixer)
+    # written first: the filter on the copies would take the whole classifier along, many times over
+    return _copied(_with_rates(durable(rows), mixer, PULL), docs.columns, id, text)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text") -> tuple[Mixer, DataFrame]:
+    """``fit`` and ``mixed`` in one, so that the texts are measured once."""
+    mixer, rows = fit(_aside(docs), labelled, targets, f"in_{id}", f"in_{text}", keep_text=True)
+    return mixer, _copied(rows, docs.columns, id, text)
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that no result has."""
+    return docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+
+
+def _copied(rows: DataFrame, columns: list[str], id: str, text: str) -> DataFrame:
     chance = F.pmod(F.xxhash64(f"in_{id}", f"in_{text}"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     rows = rows.withColumn("copies", copies).where("copies > 0")
