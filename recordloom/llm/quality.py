@@ -1,14 +1,19 @@
 """Quality scores by positive-unlabelled learning over how a text is written.
 
 Trusted positives are documents labelled good; the unlabelled rows are web text of any kind. The
-features say how a text is written, not what about: symbols, capitals, repetition, word shapes.
+features say how a text is written, not what about: every word is reduced to its shape (runs of small
+letters, capitals, digits; signs as they are), a word that stands twice in a row to a mark of its own. A
+feature is a shape, a pair of neighbouring shapes, a length of words, or the share of words in lines that
+the text has already had; its value is the root of its share of the words. Features are hashed to
+a fixed number of columns, and what each means for quality is learned.
 """
 
 from __future__ import annotations
 
-import re
+import operator
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,60 +22,74 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import pu_learning
 
-#: Rows to fit on at most, whatever the size of the tables.
-POSITIVES, UNLABELLED = 4000, 8000
-_SYMBOL = re.compile(r"[^\w\s]")
-_TAIL = re.compile(r"[^\w\s]{2,}(?=\s|$)")
-_UPPER = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
-_DIGIT = re.compile(r"\d")
-NAMES = (
-    "symbols", "symbol_words", "symbol_tails", "capital_words", "digits", "repeated_words", "longest_repeat", "few_words",
-    "top_word", "repeated_lines", "short_words", "long_words", "no_sentence", "short_text",
-)
+#: Rows to fit on at most, whatever the size of the tables, and columns of features.
+POSITIVES, UNLABELLED, COLUMNS = 4000, 8000, 4096
+#: Parts of a shape that are looked at, and the length from which words count as long.
+PARTS, LONGEST = 8, 20
+AGAIN = "="
+#: Words and features that a worker remembers.
+MEMO = 1 << 17
 
 
-def features(text: str) -> list[float]:
-    """Each from 0 to 1: saturating shares, so that a signal counts once it is clear."""
+class _Shapes(dict):
+    """word -> shape"""
+
+    def __missing__(self, word: str) -> str:
+        parts: list[str] = []
+        for c in word:
+            kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c
+            if len(parts) < 2 or (parts[-1], parts[-2]) != (kind, kind):  # one, or more than one
+                parts.append(kind)
+        shape = self[word] = "".join(parts[: 2 * PARTS])
+        return shape
+
+
+class _Columns(dict):
+    """feature -> column"""
+
+    def __missing__(self, feature) -> int:
+        column = self[feature] = zlib.crc32(repr(feature).encode()) % COLUMNS
+        return column
+
+
+_shapes, _columns = _Shapes(), _Columns()
+
+
+def features(text: str) -> dict[int, float]:
+    """Columns and their values."""
     words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * (len(NAMES) - 1) + [1.0]
-    runs = [len(list(g)) for _, g in groupby(words)]
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    lines = [x for x in text.split("\n") if x]
-    symbols = len(_SYMBOL.findall(text))
-    bare = sum(c for w, c in counts.items() if not w[0].isalnum() and not any(map(str.isalnum, w)))
-    raw = (
-        symbols / len(text) * 8,
-        bare / n * 6,
-        len(_TAIL.findall(text)) / n * 4,
-        len(_UPPER.findall(text)) / n * 3,
-        len(_DIGIT.findall(text)) / len(text) * 10,
-        (n - len(runs)) / n * 4,
-        (max(runs) - 1) / 8,
-        max(0.0, 1 - len(counts) / n**0.75) * 2,
-        max(0.0, max(counts.values()) / n - 0.1) * 3 if n > 20 else 0.0,
-        (len(lines) - len(set(lines))) / len(lines) * 2 if lines else 0.0,
-        max(0.0, 4 - len(text) / n) / 2,
-        max(0.0, len(text) / n - 9) / 6,
-        1.0 if n > 30 and symbols < n / 60 else 0.0,
-        1 / (1 + n / 4),
-    )
-    return np.tanh(raw).tolist()
-
-
-def _dense(rows: list, positive: bool) -> pu_learning.Sparse:
-    x = np.array([r["x"] for r in rows if r["positive"] == positive], float).reshape(-1, len(NAMES))
-    return pu_learning.Sparse.of_dense(x)
+    if not words:
+        return {_columns["no words"]: 1.0}
+    for memo in (_shapes, _columns):
+        if len(memo) > MEMO:
+            memo.clear()
+    shapes = list(map(_shapes.__getitem__, words))
+    if any(map(operator.eq, words, words[1:])):
+        shapes[1:] = [AGAIN if a == b else s for a, b, s in zip(words, words[1:], shapes[1:])]
+    counts: Counter = Counter(shapes)
+    counts.update(zip(["", *shapes], shapes))
+    counts.update(Counter(min(n, LONGEST) for n in map(len, words)))
+    lines = text.split("\n")
+    if len(lines) > 1:
+        for line, n in Counter(filter(None, lines)).items():
+            if n > 1:
+                counts["line again"] += (n - 1) * len(line.split())
+    counts["size", len(words).bit_length()] = len(words)
+    found: dict[int, float] = {}
+    for feature, n in counts.items():
+        column = _columns[feature]
+        found[column] = found.get(column, 0.0) + (n / len(words)) ** 0.5
+    return found
 
 
 def _features(text: str) -> Column:
-    @F.arrow_udf("array<double>")
+    kind = pa.struct([("columns", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+    @F.arrow_udf("struct<columns: array<int>, values: array<double>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([features(t.as_py() or "") for t in batch], pa.list_(pa.float64()))
+            found = (features(t.as_py() or "") for t in batch)
+            yield pa.array([{"columns": list(f), "values": list(f.values())} for f in found], kind)
 
     return made(text)
 
@@ -81,19 +100,23 @@ def train(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias, fitted on a bounded sample (see ``pu_learning.samples``)."""
     chosen, prior = pu_learning.samples(docs, labels, label, id, text, positives, unlabelled)
-    rows = chosen.select("positive", _features("text").alias("x")).collect()
-    return pu_learning.fit(_dense(rows, True), _dense(rows, False), prior, steps=800)
+    rows = chosen.select("positive", _features("text").alias("x")).select("positive", "x.*").collect()
+    sides = []
+    for positive in (True, False):
+        mine = [r for r in rows if r["positive"] == positive]
+        sides.append(pu_learning.Sparse.of_lists([r["columns"] for r in mine], COLUMNS, [r["values"] for r in mine]))
+    return pu_learning.fit(*sides, prior or pu_learning.estimated_prior(*sides), rate=0.1)
 
 
 def score(text: Column, model: tuple[np.ndarray, float]) -> Column:
     """The chance that a text is good, 0 to 1. Null counts as empty; an empty text has its own score."""
-    weights, bias = model
+    weights, bias = model[0].tolist(), model[1]
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.array([features(t.as_py() or "") for t in batch], float).reshape(-1, len(NAMES))
-            yield pa.array(pu_learning.logistic(x @ weights + bias))
+            z = [bias + sum(weights[c] * v for c, v in features(t.as_py() or "").items()) for t in batch]
+            yield pa.array(pu_learning.logistic(np.array(z, float)))
 
     return scored(F.coalesce(text, F.lit("")))
 

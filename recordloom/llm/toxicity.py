@@ -88,7 +88,8 @@ def train(
     names = _chosen(sample, limit)
     rows = sample.select("positive", _indices(names)("text").alias("x")).collect()
     side = lambda positive: pu_learning.Sparse.of_lists([r["x"] for r in rows if r["positive"] == positive], len(names))
-    weights, bias = pu_learning.fit(side(True), side(False), prior, steps=600, rate=0.1)
+    sides = side(True), side(False)
+    weights, bias = pu_learning.fit(*sides, prior or pu_learning.estimated_prior(*sides), steps=600, rate=0.1)
     return dict(zip(names, weights.tolist())), bias
 
 
