@@ -5,14 +5,6 @@ class EngineError(Exception):
     """Base of all."""
 
 
-class AuthError(EngineError):
-    pass
-
-
-class RepoError(EngineError):
-    pass
-
-
 class IndexError_(EngineError):
     """A query or a mutation that cannot be meant."""
 
@@ -21,25 +13,5 @@ class StorageError(EngineError):
     pass
 
 
-class EventError(EngineError):
-    pass
-
-
-class ChatError(EngineError):
-    pass
-
-
 class ConfigError(EngineError):
     pass
-
-
-class NetworkError(EngineError):
-    pass
-
-
-class SerializationError(EngineError):
-    pass
-
-
-class InternalError(EngineError):
-    pass

@@ -5,7 +5,7 @@ All functions are null in, null out unless they say otherwise; none needs Python
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the protocol.
@@ -39,6 +39,21 @@ def did_of_uri(uri: Column | str) -> Column:
     return F.when(uri.startswith("at://") & first.startswith("did:"), first)
 
 
+def did_of_ref(ref: Column) -> Column:
+    """The DID of a reference, a struct with a uri: of what a record quotes, likes or answers."""
+    return did_of_uri(ref["uri"])
+
+
+def parent_did(reply: Column) -> Column:
+    """Whom a reply answers; ``reply`` is a struct with the references root and parent."""
+    return did_of_ref(reply["parent"])
+
+
+def root_did(reply: Column) -> Column:
+    """Who began the thread of a reply."""
+    return did_of_ref(reply["root"])
+
+
 def did_for_collection(uri: Column | str, collection: str) -> Column:
     """The DID of a whole URI in this collection, else null."""
     parts = split_uri(uri)
@@ -94,12 +109,29 @@ def tid_seconds(tid: Column | str) -> Column:
 
 def tid_encode(micros: Column | str, clock: int = 0) -> Column:
     """The 13 characters of a time in microseconds; ``clock`` fills the low ten bits."""
-    value = F.shiftleft(_c(micros).cast("long").bitwiseAND(F.lit((1 << 53) - 1)), 10).bitwiseOR(F.lit(clock & 1023).cast("long"))
+    return _letters(F.shiftleft(_c(micros).cast("long").bitwiseAND(F.lit((1 << 53) - 1)), 10).bitwiseOR(F.lit(clock & 1023).cast("long")))
+
+
+def _letters(value: Column) -> Column:
     at = lambda k: F.shiftright(value, 5 * k).bitwiseAND(F.lit(31)).cast("int")
     letters = F.split(F.lit(TID_ALPHABET), "")
     return F.concat(*[letters[at(k)] for k in reversed(range(TID_LENGTH))])
 
 
+def with_tids(rows: DataFrame, micros: str, order: list[str], by: list[str] = (), output: str = "tid") -> DataFrame:
+    """``rows`` with unique, strictly rising timestamp identifiers in the order of ``order``, for each value of ``by``.
+
+    Each is that of its time, or one more than the one before where that is not larger: with c the
+    times and i the place, the running maximum of c - i, plus i. Without ``by`` all rows are numbered in one task.
+    """
+    arrival = Window.partitionBy(*[F.col(c) for c in by]).orderBy(*order)
+    place = F.row_number().over(arrival).cast("long")
+    value = F.shiftleft(_c(micros).cast("long").bitwiseAND(F.lit((1 << 53) - 1)), 10)
+    rows = rows.withColumn("__place", place).withColumn("__ahead", value - F.col("__place"))
+    rows = rows.withColumn("__value", F.max("__ahead").over(arrival.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__place"))
+    return rows.withColumn(output, _letters(F.col("__value"))).drop("__place", "__ahead", "__value")
+
+
 def escape_like(text: Column | str) -> Column:
     """Backslash before backslash, percent and underscore."""
     text = F.replace(_c(text), F.lit("\\"), F.lit("\\\\"))
@@ -108,3 +140,50 @@ def escape_like(text: Column | str) -> Column:
 
 def thumbnail_url(host: str, did: Column | str, cid: Column | str) -> Column:
     return F.concat(F.lit(f"{host.rstrip('/')}/img/feed_thumbnail/plain/"), _c(did), F.lit("/"), _c(cid), F.lit("@jpeg"))
+
+
+#: The chat service, and the entryway that opens sessions but passes no chat calls on.
+CHAT_HOST, ENTRYWAY_HOST = "api.bsky.chat", "bsky.social"
+PDS, PDS_TYPE = "#atproto_pds", "AtprotoPersonalDataServer"
+
+
+def _host(url: Column | str) -> Column:
+    return F.lower(F.regexp_extract(_c(url), r"(?i)\A[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+
+
+def is_chat_service(url: Column | str) -> Column:
+    """Whether a URL names the chat service itself; a text that is no URL does if it holds the name."""
+    return F.when(_c(url).contains("://"), _host(url) == CHAT_HOST).otherwise(_c(url).contains(CHAT_HOST))
+
+
+def is_entryway(url: Column | str) -> Column:
+    return _host(url) == ENTRYWAY_HOST
+
+
+def pds_endpoint(did_document: Column | str) -> Column:
+    """The data server that an identity document (JSON) names: the first of its kind with an http(s) address; null for none."""
+    services = F.from_json(F.get_json_object(_c(did_document), "$.service"), "array<struct<id: string, type: string, serviceEndpoint: string>>")
+    address = lambda s: F.rtrim(trimmed(s["serviceEndpoint"]), F.lit("/"))
+    fine = lambda s: s["id"].endswith(PDS) & F.coalesce(s["type"], F.lit("")).isin("", PDS_TYPE) & address(s).rlike(r"(?i)\Ahttps?://[^/?#]")
+    return F.get(F.transform(F.filter(services, fine), address), 0)
+
+
+def session_base_url(pds: Column | str, chat: Column | str, did_document: Column | str) -> Column:
+    """Struct (url, may_change): where the chat calls of a session go.
+
+    An address for chats that is neither the service, nor the entryway, nor the data server is kept for
+    good; else the data server of the identity document is taken, or the one given unless it is the
+    entryway, or what there is.
+    """
+    clean = lambda c: F.rtrim(trimmed(F.coalesce(_c(c), F.lit(""))), F.lit("/"))
+    pds, chat, found = clean(pds), clean(chat), pds_endpoint(did_document)
+    own = (chat != "") & ~is_chat_service(chat) & ~is_entryway(chat) & (chat != pds)
+    given = ((chat == "") | is_chat_service(chat)) & (pds != "") & ~is_entryway(pds)
+    url = F.when(own, chat).when(found.isNotNull(), found).when(given, pds).when(chat != "", chat).otherwise(pds)
+    return F.struct(url.alias("url"), (~own).alias("may_change"))
+
+
+def is_recoverable_expiry(status: Column | str, body: Column | str) -> Column:
+    """Whether an answer says that a session has run out and can be renewed."""
+    wrong = _c(body).contains("BadJwtType") | _c(body).contains("BadTokenScope")
+    return ~wrong & ((_c(status) == 401) | ((_c(status) == 400) & _c(body).contains("ExpiredToken")))

@@ -47,3 +47,8 @@ def resume_cursor(cursor: Column, now: Column) -> Column:
     """Where to read on: five seconds back, at most 72 hours; null for no cursor."""
     zero = F.lit(0).cast("long")
     return F.when(cursor > 0, F.nullif(F.greatest(cursor - OVERLAP, now - WINDOW, zero), zero))
+
+
+def reconnect_cursor(cursor: Column) -> Column:
+    """Where to read on after a lost connection: five seconds back; null for no cursor."""
+    return F.when(cursor > 0, F.greatest(cursor - OVERLAP, F.lit(0).cast("long")))

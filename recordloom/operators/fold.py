@@ -9,8 +9,9 @@ cut into batches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from recordloom.errors import IndexError_
 from recordloom.schema import FEED, RECORD_COLUMNS
@@ -34,14 +35,19 @@ def validated(mutations: DataFrame) -> DataFrame:
 
 
 def with_state(mutations: DataFrame, state: DataFrame | None) -> DataFrame:
-    """The log with the state before it as mutations that come first: an upsert, and a delete for a tombstone."""
+    """The log with the state before it as mutations that come first: an upsert, and a delete for a tombstone.
+
+    ``seq`` is a long, or a struct of two (batch, place in it).
+    """
     log = mutations.withColumn(_SEED, F.lit(False))
     if state is None:
         return log
     seed = state.withColumn(_SEED, F.lit(True))
     columns = ["cid", "did", "collection", "rkey", "record_json", "indexed_at"]
-    first = seed.select(F.lit(-2).cast("long").alias("seq"), F.lit("U").alias("op"), "uri", *columns, _SEED)
-    gone = seed.where("is_deleted").select(F.lit(-1).cast("long").alias("seq"), F.lit("D").alias("op"), "uri", *columns, _SEED)
+    kind = mutations.schema["seq"].dataType
+    before = lambda n: F.lit(n).cast("long") if kind == LongType() else F.struct(F.lit(n), F.lit(0)).cast(kind)
+    first = seed.select(before(-2).alias("seq"), F.lit("U").alias("op"), "uri", *columns, _SEED)
+    gone = seed.where("is_deleted").select(before(-1).alias("seq"), F.lit("D").alias("op"), "uri", *columns, _SEED)
     return log.unionByName(first).unionByName(gone)
 
 
@@ -102,6 +108,22 @@ def hard_deleted(state: DataFrame, uris: DataFrame) -> tuple[DataFrame, DataFram
     return state.join(keys, "uri", "left_anti").select(*RECORD_COLUMNS), removed
 
 
+def is_upsert(change: Column | str = "change") -> Column:
+    """Whether a change of the feed is an upsert; the others are deletes."""
+    return (F.col(change) if isinstance(change, str) else change) == "Upsert"
+
+
+def record_of_change() -> Column:
+    """The record that a change of the feed wrote, as a struct; null for a delete."""
+    return F.when(is_upsert(), F.struct("uri", "cid", "did", "collection", "rkey", "record_json", "indexed_at", F.lit(False).alias("is_deleted")))
+
+
+def matching(changes: DataFrame, collection: str | None = None, did: str | None = None) -> DataFrame:
+    """The changes of a collection, of a DID, or of both."""
+    rows = changes if collection is None else changes.where(F.col("collection") == collection)
+    return rows if did is None else rows.where(F.col("did") == did)
+
+
 def replayed(feed_rows: DataFrame, capacity: int = 1024) -> DataFrame:
     """What a slow reader still gets: the last ``capacity`` changes, rounded up to a power of two."""
     kept = 1 << max(capacity - 1, 0).bit_length()

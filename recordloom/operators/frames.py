@@ -92,6 +92,16 @@ def wanted(events: DataFrame, collections: list[str] = (), dids: list[str] = ())
     return rows
 
 
+def timestamps(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
+    """``frames`` with ``time_us``, the time of every frame that means anything."""
+    return parsed(frames, value, now).withColumn("time_us", F.col("event.time_us")).drop("event")
+
+
+def commits(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
+    """``frames`` that are commits, with their fields as columns."""
+    return wanted(parsed(frames, value, now)).select("*", "event.*").drop("event", "event_type", "kind")
+
+
 def cursor(events: DataFrame, kinds: tuple[str, ...] = ("commit",)) -> DataFrame:
     """One row: the largest time of these kinds of events, null for none. Zero is no time."""
     return events.where(F.col("event.event_type").isin(*kinds)).agg(F.nullif(F.max("event.time_us"), F.lit(0).cast("long")).alias("cursor"))

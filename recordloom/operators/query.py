@@ -56,7 +56,8 @@ def condition(key: TypedKey, op: str, value) -> Column:
 
 @dataclass(frozen=True)
 class RecordQuery:
-    records: DataFrame
+    #: The records, or what gives those of a collection.
+    records: DataFrame | Callable[[str], DataFrame]
     collection_name: str | None = None
     did_name: str | None = None
     clauses: tuple = ()
@@ -123,7 +124,7 @@ class RecordQuery:
             raise IndexError_("a query needs a collection")
         for path, _, _ in self.clauses:
             normalise_path(path)
-        rows = self.records.where(F.col("collection") == name)
+        rows = (self.records if isinstance(self.records, DataFrame) else self.records(name)).where(F.col("collection") == name)
         if not self.deleted:
             rows = rows.where(~F.col("is_deleted"))
         if self.did_name is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,10 @@ from recordloom.streaming import ingest
 
 @dataclass(frozen=True)
 class Config:
-    """Where records are kept (none: no store) and which of the stream is wanted."""
+    """Where records are kept (a path, else for the session only, else nowhere) and which of the stream is wanted."""
 
     storage_path: str | None = None
+    in_memory: bool = False
     checkpoint_path: str | None = None
     collections: tuple[str, ...] = ()
     dids: tuple[str, ...] = ()
@@ -25,14 +28,27 @@ class Config:
     def with_storage(self, path: str) -> Config:
         return replace(self, storage_path=path)
 
+    def with_memory(self) -> Config:
+        """A store that lasts as long as the session, in a folder of its own beside the checkpoints."""
+        return replace(self, in_memory=True)
+
     def with_wanted(self, collections: tuple[str, ...] = (), dids: tuple[str, ...] = ()) -> Config:
         return replace(self, collections=collections, dids=dids)
 
 
+def _session_folder(spark: SparkSession) -> str:
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("a store for the session needs spark.checkpoint.dir")
+    return f"{shared or tempfile.mkdtemp(prefix='recordloom-')}/store-{uuid.uuid4().hex}"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, store: RecordStore | None = None):
+        """A store that is given comes before a storage path, and that before a store in memory."""
         self.spark, self.config = spark, config
-        self._store = store or (RecordStore(spark, config.storage_path) if config.storage_path else None)
+        path = config.storage_path or (_session_folder(spark) if config.in_memory and store is None else None)
+        self._store = store or (RecordStore(spark, path) if path else None)
 
     @property
     def store(self) -> RecordStore:
@@ -46,6 +62,10 @@ class Engine:
     def collection(self, name: str) -> RecordQuery:
         return self.query().collection(name)
 
+    def subscribe(self) -> DataFrame:
+        """A stream of the changes of the store."""
+        return self.store.subscribe()
+
     def sql(self, text: str, **args) -> DataFrame:
         """Spark SQL over the view ``records``; values are bound, not pasted."""
         self.store.records().createOrReplaceTempView("records")

@@ -34,6 +34,27 @@ def follows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("follows").alias("f")).select(F.col("f.did").alias("did"))
 
 
+def followers(pages: DataFrame) -> DataFrame:
+    """DIDs of pages with an array ``followers`` of structs."""
+    return pages.select(F.explode("followers").alias("f")).select(F.col("f.did").alias("did"))
+
+
+def profiles(pages: DataFrame) -> DataFrame:
+    """(did, handle, displayName) of answers that name a DID; fields that are missing are null."""
+    known = set(pages.columns)
+    field = lambda name: (F.col(name) if name in known else F.lit(None)).cast("string").alias(name)
+    return pages.select(field("did"), field("handle"), field("displayName")).where("did is not null")
+
+
+def posts(pages: DataFrame) -> DataFrame:
+    """(uri, cid, value) of answers for single records; those without a URI are dropped."""
+    return pages.select("uri", "cid", "value").where("uri is not null")
+
+
+def typeahead_limit(n: int) -> int:
+    return min(max(n, 1), TYPEAHEAD_LIMIT)
+
+
 def follow_records(pages: DataFrame) -> DataFrame:
     """(rkey, subject) of pages with an array ``records`` of (uri, value); empty ones are dropped."""
     rows = pages.select(F.explode("records").alias("r"))

@@ -1,23 +1,30 @@
-"""A record store of immutable snapshots on any file system that Spark can write.
+"""A record store as append-only tables on any file system that Spark can write.
 
-Each committed batch is a folder ``v<number>`` with the records (partitioned by collection), the
-changes it made and its meta values, written beside and renamed into place in one step. Readers see
-the newest committed folder, so a batch, its cursor and its changes appear together or not at all.
+Each batch is a partition of three tables: its mutations (``log``), the changes it made (``feed``) and its
+meta values (``meta``). The meta rows are written last, and readers see only batches that have them, so a
+batch, its cursor and its changes appear together or not at all; a batch that is written again
+replaces what is left of itself. A batch writes its own rows and nothing else. Records are the fold of the log
+over the last compacted table (``base``), which is partitioned by collection; ``compact`` makes a new one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.errors import StorageError
 from recordloom.operators import fold
 from recordloom.operators.query import RecordQuery
-from recordloom.schema import RECORD_COLUMNS, RECORDS
+from recordloom.schema import FEED, MUTATIONS, RECORD_COLUMNS, RECORDS
 
 CURSOR = "cursor"
+#: Keys of the store's own meta values: the batch is whole; the base that holds the records up to here.
+_DONE, _BASE = "store:done", "store:base"
+_META = "key string, value string"
 
 
 def lookup(records: DataFrame, uri: str, include_deleted: bool = False) -> DataFrame:
@@ -35,90 +42,137 @@ def lookup(records: DataFrame, uri: str, include_deleted: bool = False) -> DataF
 class RecordStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = lambda p: hadoop(p)
-        self._fs = hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(hadoop(self.path))
 
-    # -- snapshots
+    # -- tables
 
-    def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+    def _table(self, name: str, schema: str, batches: list[int] | None = None) -> DataFrame:
+        """A table of the store with its column ``batch``; of these batches, or all that are written."""
+        empty = self.spark.createDataFrame([], f"{schema}, batch long")
+        if batches == []:
+            return empty
+        try:
+            rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty
+        return rows if batches is None else rows.where(F.col("batch").isin(batches))
 
-    def records(self) -> DataFrame:
-        """All records of the newest snapshot, tombstones included."""
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], RECORDS)
-        return self.spark.read.schema(RECORDS).parquet(f"{self.path}/v{versions[-1]}/records").select(*RECORD_COLUMNS)
+    def _write(self, name: str, batch: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _meta_rows(self) -> list:
+        return self._table("meta", _META).collect()  # a few small values for each batch since the last compaction
+
+    def versions(self) -> list[int]:
+        """The batches that are whole."""
+        return sorted(r["batch"] for r in self._meta_rows() if r["key"] == _DONE)
+
+    def _state(self, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Records, tombstones included, of the rows that ``only`` lets through, before they are folded."""
+        meta = self._meta_rows()
+        done = [r["batch"] for r in meta if r["key"] == _DONE]
+        bases = [(r["batch"], r["value"]) for r in meta if r["key"] == _BASE and r["batch"] in done]
+        at, name = max(bases, default=(-1, None))
+        if name is None:
+            base = self.spark.createDataFrame([], RECORDS)
+        else:
+            base = self.spark.read.schema(RECORDS).parquet(f"{self.path}/base/{name}").select(*RECORD_COLUMNS)
+        later = [b for b in done if b > at]
+        if not later:
+            return only(base)
+        log = self._table("log", MUTATIONS, later).withColumn("seq", F.struct("batch", "seq")).drop("batch")
+        return fold.fold(only(log), only(base))
+
+    def records(self, collection: str | None = None) -> DataFrame:
+        """All records, tombstones included; or those of a collection, of which alone the tables are read."""
+        return self._state() if collection is None else self._state(lambda rows: rows.where(F.col("collection") == collection))
 
     def changes(self, version: int | None = None) -> DataFrame:
         """The change feed of one batch, the newest if not given."""
-        return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1] if version is None else version}/feed")
-
-    def _commit(self, version: int, records: DataFrame, feed: DataFrame, meta: dict[str, str]) -> None:
-        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        records.write.partitionBy("collection").parquet(f"{draft}/records")
-        feed.write.parquet(f"{draft}/feed")
-        self.spark.createDataFrame(list(meta.items()), "key string, value string").coalesce(1).write.parquet(f"{draft}/meta")
-        if not self._fs.rename(self._path(draft), self._path(f"{self.path}/v{version}")):
-            self._fs.delete(self._path(draft), True)
-            raise StorageError(f"version {version} was committed by another writer")
+        version = self.versions()[-1] if version is None else version
+        return self._table("feed", FEED, [version]).drop("batch")
+
+    def subscribe(self) -> DataFrame:
+        """A stream of the changes of the batches there are and of those to come. A batch that failed and was written again may come twice."""
+        (self.spark.createDataFrame([], FEED)).write.mode("append").parquet(f"{self.path}/feed/batch=-1")
+        return self.spark.readStream.schema(f"{FEED}, batch long").parquet(f"{self.path}/feed")
+
+    def _commit(self, batch: int, log: DataFrame | None, feed: DataFrame | None, meta: dict[str, str]) -> None:
+        if log is not None:
+            self._write("log", batch, log)
+        if feed is not None:
+            self._write("feed", batch, feed)
+        rows = [*meta.items(), (_DONE, "1")]
+        self._write("meta", batch, self.spark.createDataFrame(rows, _META).coalesce(1))
 
     def _next(self) -> int:
         return (self.versions() or [0])[-1] + 1
 
+    def _rebase(self, records: DataFrame, feed: DataFrame | None = None) -> int:
+        """A batch that replaces all records by these."""
+        batch, name = self._next(), uuid.uuid4().hex
+        records.write.partitionBy("collection").parquet(f"{self.path}/base/{name}")
+        self._commit(batch, None, feed, {_BASE: name})
+        return batch
+
+    def compact(self) -> None:
+        """Folds the log into a new base. The tables of before stay for readers that are at them."""
+        self._rebase(self.records())
+
     # -- mutations
 
     def apply(self, mutations: DataFrame, cursor: int | None = None, version: int | None = None) -> dict[str, int]:
-        """One atomic batch; mutations out of range are skipped. A version that exists is left alone."""
-        version = self._next() if version is None else version
-        if version in self.versions():
+        """One atomic batch; mutations out of range are skipped. A version that is whole is left alone.
+
+        Of the records only those that the batch names are read for its changes.
+        """
+        done = self.versions()
+        version = (done or [0])[-1] + 1 if version is None else version
+        if version in done:
             return {"upserted": 0, "deleted": 0, "skipped": 0}
-        meta = self.meta()
-        if cursor is not None:
-            meta[CURSOR] = str(max(cursor, self.cursor() or 0))
-        state = self.records()
-        self._commit(version, fold.fold(mutations, state), fold.feed(mutations, state), meta)
+        fine = fold.in_range(mutations).select(*[f.split()[0] for f in MUTATIONS.split(", ")])
+        self._write("log", version, fine)
+        log = self._table("log", MUTATIONS, [version]).drop("batch")
+        uris = log.select("uri").distinct()
+        self._write("feed", version, fold.feed(log, self._state(lambda rows: rows.join(uris, "uri", "left_semi"))))
+        meta = {} if cursor is None else {CURSOR: str(max(cursor, self.cursor() or 0))}
+        self._commit(version, None, None, meta)
         counts = {r["change"]: r["count"] for r in self.changes(version).groupBy("change").count().collect()}
-        skipped = mutations.count() - fold.in_range(mutations).count()
-        return {"upserted": counts.get("Upsert", 0), "deleted": counts.get("Delete", 0), "skipped": skipped}
+        return {"upserted": counts.get("Upsert", 0), "deleted": counts.get("Delete", 0), "skipped": mutations.count() - log.count()}
 
     def upsert(self, mutations: DataFrame) -> dict[str, int]:
         """A batch of upserts that is refused as a whole if any time is out of range."""
         return self.apply(fold.validated(mutations))
 
     def soft_delete_unversioned(self, uris: DataFrame) -> None:
+        """Marks these URIs deleted without a time of their own; this compacts the store."""
         state = self.records()
         hit = state.where("not is_deleted").join(uris.select("uri").distinct(), "uri", "left_semi")
-        self._commit(self._next(), fold.soft_deleted_unversioned(state, uris), hit.select(F.lit("Delete").alias("change"), "uri", "did", "collection", "rkey"), self.meta())
+        self._rebase(fold.soft_deleted_unversioned(state, uris), _deletes(hit))
 
     def hard_delete(self, uris: DataFrame) -> int:
+        """Removes the records of these URIs and says how many there were; this compacts the store."""
         kept, removed = fold.hard_deleted(self.records(), uris)
-        self._commit(self._next(), kept, removed, self.meta())
-        return self.changes().count()
+        return self.changes(self._rebase(kept, _deletes(removed))).count()
 
     # -- reads
 
     def get(self, uri: str, include_deleted: bool = False) -> DataFrame:
         """At most one row."""
-        return lookup(self.records(), uri, include_deleted)
+        return lookup(self._state(lambda rows: rows.where(F.col("uri") == uri)), uri, include_deleted)
 
     def query(self) -> RecordQuery:
-        return RecordQuery(self.records())
+        return RecordQuery(self.records)
 
     # -- meta values
 
     def meta(self) -> dict[str, str]:
-        versions = self.versions()
-        if not versions:
-            return {}
-        return {r["key"]: r["value"] for r in self.spark.read.parquet(f"{self.path}/v{versions[-1]}/meta").collect()}
+        """The newest value of each key."""
+        return {r["key"]: r["value"] for r in sorted(self._meta_rows(), key=lambda r: r["batch"]) if not r["key"].startswith("store:")}
 
     def set_meta(self, key: str, value: str) -> None:
-        none = self.spark.createDataFrame([], "change string, uri string")
-        self._commit(self._next(), self.records(), none, self.meta() | {key: value})
+        self._commit(self._next(), None, None, {key: value})
 
     def cursor(self) -> int | None:
         value = self.meta().get(CURSOR)
@@ -129,7 +183,19 @@ class RecordStore:
         except ValueError as e:
             raise StorageError(f"the stored cursor {value!r} is no number") from e
 
-    def set_cursor(self, value: int) -> None:
-        """Cursors only move on."""
-        if value >= (self.cursor() or 0):
-            self.set_meta(CURSOR, str(value))
+    def set_cursor(self, value: int) -> bool:
+        """Cursors only move on, and zero is none; says whether it moved."""
+        if value <= (self.cursor() or 0):
+            return False
+        self.set_meta(CURSOR, str(value))
+        return True
+
+    def force_cursor(self, value: int) -> None:
+        """Sets the cursor wherever it stood, for a deliberate replay; zero takes it away."""
+        self.set_meta(CURSOR, str(value))
+
+
+def _deletes(rows: DataFrame) -> DataFrame:
+    """Records as deletes of the change feed."""
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    return rows.select(none("seq", "long"), F.lit("Delete").alias("change"), "uri", "did", "collection", "rkey", none("cid", "string"), none("record_json", "string"), none("indexed_at", "long"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordloom.operators import frames
+from recordloom.operators import fold, frames
 from recordloom.sources.store import RecordStore
 
 
@@ -36,13 +36,30 @@ def numbered(batch: DataFrame) -> DataFrame:
 
 
 def apply_batch(
-    store: RecordStore, batch: DataFrame, batch_id: int, collections: Sequence[str] = (), dids: Sequence[str] = ()
+    store: RecordStore, batch: DataFrame, batch_id: int, collections: Sequence[str] = (), dids: Sequence[str] = (), single: bool = False
 ) -> dict[str, int]:
-    """Fold one batch of frames (value and seq, or value, file and block) into the store. The cursor moves with all commits, wanted or not."""
-    events = frames.parsed(batch if "seq" in batch.columns else numbered(batch))
-    cursor = frames.cursor(events).first()["cursor"]
-    commits = frames.wanted(events, collections, dids)
-    return store.apply(frames.mutations_of(commits), cursor, version=batch_id + 1)
+    """Fold one batch of frames (value and seq, or value, file and block) into the store, and count.
+
+    Counts: frames, bytes, upserted, deleted, skipped (times out of range) and sync_errors (creates and
+    updates without a record). The cursor moves with all commits, wanted or not. ``single`` counts as
+    records that are applied one by one do: every upsert counts, stale or not, and those without a record do
+    not move the cursor. Frames are parsed once and kept while the batch lasts.
+    """
+    frame_count = F.struct(F.count("*").alias("frames"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
+    events = frames.parsed(batch if "seq" in batch.columns else numbered(batch)).persist()
+    try:
+        e = F.col("event")
+        fails = (e["event_type"] == "commit") & (e["operation"] != "delete") & e["record_json"].isNull()
+        cursor = frames.cursor(events.where(~fails) if single else events).first()["cursor"]
+        commits = frames.wanted(events, collections, dids)
+        log = frames.mutations_of(commits)
+        counts = batch.agg(frame_count.alias("c")).first()["c"].asDict() | store.apply(log, cursor, version=batch_id + 1)
+        counts["sync_errors"] = commits.where(fails).count()
+        if single:
+            counts["upserted"] = fold.in_range(log).where("op = 'U'").count()
+        return counts
+    finally:
+        events.unpersist()
 
 
 def start(
