@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions.identifiers import trimmed
+from recordloom.functions.once import let
 
 #: Fixed values of the protocol.
 MENTION = "app.bsky.richtext.facet#mention"
@@ -81,8 +82,10 @@ def images(embed_json: Column) -> Column:
 
     Media may be a bare array of images. An alternative text that is no text is empty.
     """
-    embed = F.try_parse_json(embed_json)
-    kind = _string(embed, "$['$type']")
+    return let(F.try_parse_json(embed_json), _images)
+
+
+def _images(embed: Column) -> Column:
     many = lambda path: F.try_variant_get(embed, path, "array<variant>")
 
     def plain(root: str) -> Column:
@@ -91,9 +94,13 @@ def images(embed_json: Column) -> Column:
     def gallery(root: str) -> Column:
         return _items(F.when(_there(embed, f"{root}.items"), many(f"{root}.items")).otherwise(many(f"{root}.images")), True)
 
-    media = F.when(F.size(plain("$.media")) > 0, plain("$.media")).otherwise(gallery("$.media"))
+    beside = F.filter(F.array(plain("$.media"), gallery("$.media")), lambda found: F.size(found) > 0)
     none = F.array().cast(_NO_IMAGES)
-    return F.when(kind == EMBED_IMAGES, plain("$")).when(kind == EMBED_GALLERY, gallery("$")).when(kind == EMBED_WITH_MEDIA, media).otherwise(none)
+    found = let(
+        _string(embed, "$['$type']"),
+        lambda kind: F.when(kind == EMBED_IMAGES, plain("$")).when(kind == EMBED_GALLERY, gallery("$")).when(kind == EMBED_WITH_MEDIA, F.get(beside, 0)),
+    )
+    return F.coalesce(found, none)
 
 
 def label_values(record_json: Column) -> Column:
@@ -122,14 +129,17 @@ def live_message(message_json: Column) -> Column:
 
     A revision may be missing, but not be anything else than text; facets are null, missing or an array.
     """
-    message = F.try_parse_json(message_json)
+    return F.when(let(F.try_parse_json(message_json), _is_live), message_json)
+
+
+def _is_live(message: Column) -> Column:
     kind = lambda path: F.schema_of_variant(F.try_variant_get(message, path, "variant"))
     gone = F.coalesce(_string(message, "$['$type']").endswith(DELETED_MESSAGE), F.lit(False))
     fine = [kind(path) == "STRING" for path in ("$.id", "$.text", "$.sender.did", "$.sentAt")]
     rev, facets = kind("$.rev"), kind("$.facets")
     fine += [rev.isNull() | (rev == "STRING"), facets.isNull() | (facets == "VOID") | facets.startswith("ARRAY")]
     whole = F.coalesce(fine[0] & fine[1] & fine[2] & fine[3] & fine[4] & fine[5], F.lit(False))
-    return F.when(~gone & whole, message_json)
+    return ~gone & whole
 
 
 def live_messages(messages: Column) -> Column:

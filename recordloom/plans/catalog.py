@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import facets, identifiers, lexicon, timefmt
+from recordloom.functions.once import once
 from recordloom.operators import fold, frames
 from recordloom.operators.query import RecordQuery
 from recordloom.sources import store
@@ -584,8 +585,8 @@ def _embeds(spark, sf_dir):
        CASE WHEN event_id % 4 IN (1, 2) THEN 'plain:,cid' || event_id || ':' || CASE WHEN event_id % 2 = 0 THEN 'alt text' ELSE '' END ELSE '' END AS images FROM events""",
 )
 def quotes_and_images(spark, sf_dir):
-    found = lexicon.images(F.col("embed"))
-    return _embeds(spark, sf_dir).select(
+    found = F.col("found")
+    return once(_embeds(spark, sf_dir), "found", lexicon.images(F.col("embed"))).select(
         "event_id", lexicon.is_quote(F.col("embed")).alias("is_quote"), lexicon.quote(F.col("embed")).alias("quote_uri"), lexicon.quote(F.col("embed"), "cid").alias("quote_cid"),
         F.size(found).alias("n_images"), F.array_join(F.transform(found, lambda x: F.concat(x["cid"], F.lit(":"), x["alt"])), ",").alias("images"),
     )
