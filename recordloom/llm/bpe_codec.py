@@ -8,13 +8,12 @@ get wrong, and re-encoded, until a pre-token starts where one of the right chunk
 both scans are the same scan, since where a pre-token ends depends only on where it starts and on
 what follows; the right chunk's ids then hold. The result is the ids of the whole text exactly.
 
-One narrow pass, no shuffle: chunks are reused by all documents a worker sees, from a store of
+One narrow pass, no shuffle: chunks are reused by all documents of a task, from a store of
 bounded size.
 """
 
 from __future__ import annotations
 
-import functools
 import struct
 from collections.abc import Iterator
 from itertools import islice
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 from recordloom.llm import bpe
 
 #: Characters that the rolling hash sees.
@@ -32,8 +33,8 @@ ROLL = 16
 #: A chunk ends where the hash has this many leading zero bits: every 1024 characters on average.
 ZERO_BITS = 10
 SHORTEST, LONGEST = 128, 8192
-#: Characters of text whose chunks a worker keeps, and pre-tokens whose ids it keeps.
-STORE, MEMO = 1 << 22, 1 << 18
+#: Characters of text whose chunks a task keeps, and pre-tokens whose ids it keeps.
+STORE, MEMO = 1 << 22, 1 << 16
 #: Starts that a chunk keeps; a join that does not agree within them is re-encoded to the chunk's end.
 HEAD = 12
 #: Characters after a pre-token's start that decide which kind of pre-token it is ('re, 've, 'll).
@@ -165,11 +166,6 @@ class ChunkCodec:
         return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@functools.lru_cache(maxsize=4)
-def codec(path: str) -> ChunkCodec:
-    return ChunkCodec(path)
-
-
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", output: str = "ids") -> DataFrame:
     """``docs`` with a binary column ``output``: the ids of each whole text, 4 bytes each.
 
@@ -178,8 +174,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", output: str = "i
     """
 
     @F.arrow_udf("binary")
+    @tidied
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(tokenizer)
+        c = ChunkCodec(tokenizer)  # what it remembers goes with the task
         for batch in batches:
             yield pa.array([c.encode(t.as_py() or "") for t in batch], pa.binary())
 
@@ -190,8 +187,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", output: str = "
     """``encoded`` with a string column ``output``: the text of a binary column of ids (null: empty)."""
 
     @F.arrow_udf("string")
+    @tidied
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(tokenizer)
+        c = ChunkCodec(tokenizer)  # what it remembers goes with the task
         for batch in batches:
             yield pa.array([c.decode(i.as_py() or b"") for i in batch], pa.string())
 
@@ -202,8 +200,9 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "
     """``encode`` and ``decode`` in one pass over Python: columns ``ids`` and ``decoded``."""
 
     @F.arrow_udf("struct<ids: binary, decoded: string>")
+    @tidied
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(tokenizer)
+        c = ChunkCodec(tokenizer)  # what it remembers goes with the task
         for batch in batches:
             coded = [c.encode(t.as_py() or "") for t in batch]
             yield pa.StructArray.from_arrays(

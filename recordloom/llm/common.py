@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,27 @@ def hot_join(rows: DataFrame, values: DataFrame, keys: Sequence[str], count: str
     return hot.unionByName(cold)
 
 
+def tidied(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``f``, a function of Arrow batches, that gives memory back at the end of its task.
+
+    Python workers are reused by later stages; what allocators keep for themselves would pile up beside
+    the executor's heap.
+    """
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

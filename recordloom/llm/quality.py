@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 from recordloom.llm import pu_learning
 
 #: Rows to fit on at most, whatever the size of the tables, and columns of features.
@@ -28,7 +30,7 @@ POSITIVES, UNLABELLED, COLUMNS = 4000, 8000, 4096
 PARTS, LONGEST = 8, 20
 AGAIN = "="
 #: Words and features that a worker remembers.
-MEMO = 1 << 17
+MEMO = 1 << 14
 
 
 class _Shapes(dict):
@@ -86,6 +88,7 @@ def _features(text: str) -> Column:
     kind = pa.struct([("columns", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
     @F.arrow_udf("struct<columns: array<int>, values: array<double>>")
+    @tidied
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = (features(t.as_py() or "") for t in batch)
@@ -113,6 +116,7 @@ def score(text: Column, model: tuple[np.ndarray, float]) -> Column:
     weights, bias = model[0].tolist(), model[1]
 
     @F.arrow_udf("double")
+    @tidied
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             z = [bias + sum(weights[c] * v for c, v in features(t.as_py() or "").items()) for t in batch]

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 from recordloom.llm.shingles import BASE, mixed, rolling, word_hashes
 
 #: Words of the grams among which a window's minimiser is found.
 GRAM = 5
 #: Bytes of text for each block, and windows that a task gathers before it sends them.
-BLOCK_BYTES, GATHER = 16 << 20, 1 << 21
+BLOCK_BYTES, GATHER = 8 << 20, 1 << 20
 #: Windows of a run at most.
 RUN = 200
 #: Bytes of a window's hash.
@@ -126,6 +128,7 @@ def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int) ->
 
 
 def _windows(window: int, blocks: int):
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
         ids: list[int] = []
@@ -203,6 +206,7 @@ def _cut(window: int):
     kind = pa.struct([("n_words", pa.int64()), ("intervals", pa.list_(interval)), ("kept", pa.string())])
 
     @F.arrow_udf(KEPT)
+    @tidied
     def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, starts, lengths in batches:
             out = []

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 from recordloom.llm import bpe
 
 #: Pre-tokens whose merged count a worker remembers; then it starts afresh.
@@ -78,6 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", output: st
     """
 
     @F.arrow_udf("long")
+    @tidied
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = counter(tokenizer)
         for batch in batches:

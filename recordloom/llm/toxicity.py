@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 from recordloom.llm import pu_learning
 
 #: Rows to fit on and features to weigh at most, whatever the size of the tables.
@@ -45,6 +47,7 @@ def features(text: str) -> set[str]:
 
 def _features(text: str) -> Column:
     @F.arrow_udf("array<string>")
+    @tidied
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([list(features(t.as_py() or "")) for t in batch], pa.list_(pa.string()))
@@ -71,6 +74,7 @@ def _chosen(sample: DataFrame, limit: int) -> list[str]:
 
 def _indices(names: list[str]):
     @F.arrow_udf("array<int>")
+    @tidied
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place = {f: i for i, f in enumerate(names)}
         for batch in batches:
@@ -98,6 +102,7 @@ def score(text: Column, model: tuple[dict[str, float], float]) -> Column:
     weights, bias = model
 
     @F.arrow_udf("double")
+    @tidied
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = weights.keys()
         for batch in batches:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidied
+
 PACKET, SYNC = 188, 0x47
 TABLE_PID, MAP_PID, DATA_PID, PROGRAMME = 0x0000, 0x1000, 0x0100, 1
 #: Private data in PES packets.
@@ -202,6 +204,7 @@ def store(docs: DataFrame, text: str = "text", output: str = "media") -> DataFra
     """
 
     @F.arrow_udf("binary")
+    @tidied
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([mux(padded(t.as_py())) for t in batch], pa.binary())
@@ -225,6 +228,7 @@ def load(rows: DataFrame, media: str = "media", output: str = "stream") -> DataF
     """
 
     @F.arrow_udf(READ)
+    @tidied
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = (demux(m.as_py()) for m in batch)

@@ -14,9 +14,11 @@ def shingles(text):
 
 
 def linked(docs, percent):
-    """Components of all pairs that are similar, by brute force over pairs that share a shingle."""
+    """Components of all pairs that are similar, by brute force over pairs of distinct sets that share a shingle."""
     sets = {i: shingles(t) for i, t in docs}
-    parent = {i: i for i in sets}
+    first, parent = {}, {}
+    for i, s in sorted(sets.items()):
+        parent[i] = first.setdefault(s, i) if s else i
 
     def find(x):
         while parent[x] != x:
@@ -24,7 +26,7 @@ def linked(docs, percent):
         return x
 
     holders = defaultdict(list)
-    for i, s in sets.items():
+    for s, i in first.items():
         for e in s:
             holders[e].append(i)
     for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
