@@ -8,8 +8,10 @@ vectors, and visits are widened until the leaves hold the wanted share of the ex
 is done for the tree cut at each of its levels, and the level with the least work for a query is
 taken: vectors without clusters are better filed in few large leaves, clustered ones in many.
 
-Vectors and queries meet in one shuffle on (leaf, block); a leaf of many vectors is dealt to blocks
-of bounded size, and a query that visits it goes to each. Equal vectors are filed once and their ids
+Vectors and queries meet in one shuffle on (group, block, part): a group is a coarse node with all leaves
+below it, so that a query is sent, and answers, once for a group however many of its leaves it visits. A
+group of many vectors is dealt to blocks of bounded size, and a query that visits it goes to each; its
+queries are dealt to parts in the same way. Equal vectors are filed once and their ids
 are put back into the answers, at most k + 1 smallest for each vector, which is all that a list of k
 can hold. What is sent to tasks is the tree, whose size the sample bounds.
 """
@@ -32,8 +34,11 @@ SAMPLE, CALIBRATE = 16384, 256
 BRANCH, LEAF, BLOCK = 8, 512, 16384
 #: Candidates beyond k that a block keeps, against rounding in the matrix product.
 SPARE = 4
-#: Work of one more leaf for a query, in vectors compared.
-VISIT = 2000
+#: Work for a query, in vectors compared: of one more leaf, and of one more group of leaves, to which it is sent
+#: and from which its candidates come back.
+VISIT, SEND = 16, 256
+#: Queries that are compared with a block at once.
+ASKED = 128
 
 
 class Tree:
@@ -135,20 +140,21 @@ def _usable(v: Column) -> Column:
 def neighbours(
     vectors: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.97
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row that ``queries`` marks.
+    """(query_id, rank, vec_id, score, recall): the k nearest found of each row that ``queries`` marks.
 
     A row's candidates are all rows but those of its own id; nearest is the largest inner product in
     double precision, ties go to smaller ids; fewer candidates give all of them. Rows without an id
     and vectors that are null, empty, zero or hold nulls or non-finite numbers take no part, nor do
     vectors of another length than most have. Rows that repeat id and vector count once. Other
-    columns play no part.
+    columns play no part. ``recall`` is what was measured for the sampled queries: the share of their
+    exact neighbours that lie in the leaves visited; 1 where no query was sampled.
     """
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v")))
     spark = vectors.sparkSession
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
     d = lengths["d"]
     rows = rows.where(F.size("v") == d)
     # equal vectors: one is filed; at most k + 1 ids of each can be in an answer
@@ -170,51 +176,84 @@ def neighbours(
 
     placed = durable(filed.mapInArrow(place, "id long, v array<double>, leaf int"))
     counted = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the tree
-    level, width = _calibrated(placed, asked, deep, counted, d, k, recall)
-    sizes: dict[int, int] = {}
+    # leaves are shuffled in groups, the coarsest nodes that a block may hold
+    coarse = next((c for c in range(1, max(deep.depth) + 1) if n <= BLOCK * BRANCH**c), max(1, *deep.depth, 1))
+    level, width, measured = _calibrated(placed, asked, deep, counted, d, k, recall, coarse)
+    sizes: dict[int, int] = {}  # vectors of each leaf, and of each group of leaves
+    whole: dict[int, int] = {}
     for leaf, count in counted.items():
-        sizes[deep.at(leaf, level)] = sizes.get(deep.at(leaf, level), 0) + count
+        for held, depth in ((sizes, level), (whole, min(coarse, level))):
+            held[deep.at(leaf, depth)] = held.get(deep.at(leaf, depth), 0) + count
     shipped = spark.sparkContext.broadcast(deep.cut(level))
-    above = F.split(F.lit(",".join(str(deep.at(i, level)) for i in range(len(deep.parent)))), ",").cast("array<int>")
-    placed = placed.withColumn("leaf", above[F.col("leaf")])
+    above = lambda depth: F.split(F.lit(",".join(str(deep.at(i, depth)) for i in range(len(deep.parent)))), ",").cast("array<int>")[F.col("leaf")]
+    placed = placed.select("id", "v", above(level).alias("leaf"), above(min(coarse, level)).alias("g"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value
         for batch in batches:
-            take, leaves, blocks = [], [], []
+            take, groups, blocks, lists = [], [], [], []
             for i, q in enumerate(_matrix(batch.column("v"), d) if len(batch) else ()):
-                seen = held = 0
-                for leaf in t.visits(q):
-                    n = sizes.get(leaf, 0)
-                    parts = -(-n // BLOCK)
-                    take += [i] * parts
-                    leaves += [leaf] * parts
-                    blocks += range(parts)
-                    seen, held = seen + 1, held + n
+                held, wanted = 0, {}
+                for seen, leaf in enumerate(t.visits(q), 1):
+                    wanted.setdefault(t.at(leaf, coarse), []).append(leaf)
+                    held += sizes.get(leaf, 0)
                     if seen >= width and held > 2 * k:
                         break
+                for g, leaves in wanted.items():
+                    parts = -(-whole.get(g, 0) // BLOCK)
+                    take += [i] * parts
+                    groups += [g] * parts
+                    blocks += range(parts)
+                    lists += [leaves] * parts
             part = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("q"), part.column("v"), pa.array(leaves, pa.int32()), pa.array(blocks, pa.int32())], ["q", "v", "leaf", "block"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("q"), part.column("v"), pa.array(groups, pa.int32()), pa.array(blocks, pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
+                ["q", "v", "g", "block", "leaves"],
+            )
 
     def meet(ask: pa.Table, have: pa.Table) -> pa.Table:
         if not len(ask) or not len(have):
             return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, v = _matrix(ask.column("v"), d), _matrix(have.column("v"), d)
-        ids, names = have.column("id").to_numpy(), ask.column("q").to_numpy()
-        found_q, found_id, found_score = [], [], []
-        for a in range(0, len(q), 256):
-            for i, scores in enumerate(q[a : a + 256] @ v.T, a):
-                best = _top(scores, ids, k + 1 + SPARE)
-                found_q.append(np.full(len(best), names[i]))
-                found_id.append(ids[best])
-                found_score.append((q[i] * v[best]).sum(1))  # summed alike wherever the vector stands
-        return pa.table({"q": np.concatenate(found_q), "id": np.concatenate(found_id), "score": np.concatenate(found_score)})
-
-    counts = F.create_map(*[F.lit(x) for leaf, n in sizes.items() if n > BLOCK for x in (leaf, -(-n // BLOCK))]) if any(n > BLOCK for n in sizes.values()) else None
-    parts = F.coalesce(F.element_at(counts, F.col("leaf")), F.lit(1)) if counts is not None else F.lit(1)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    asking = asked.mapInArrow(visit, "q long, v array<double>, leaf int, block int")
-    found = asking.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInArrow(meet, "q long, id long, score double")
+        ids, names, leaf = have.column("id").to_numpy(), ask.column("q").to_numpy(), have.column("leaf").to_numpy()
+        lists = ask.column("leaves").combine_chunks()
+        asker = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        asked_leaf = lists.flatten().to_numpy()
+        found, most = [], k + 1 + SPARE
+        for one in np.unique(leaf):
+            mine, asking = np.flatnonzero(leaf == one), asker[asked_leaf == one]
+            for a in range(0, len(asking), ASKED):
+                part = asking[a : a + ASKED]
+                scores = q[part] @ v[mine].T
+                if len(mine) > most:  # ties with the last one come along
+                    asks, has = np.nonzero(scores >= np.partition(scores, -most, axis=1)[:, -most, None])
+                else:
+                    asks, has = np.nonzero(np.ones_like(scores, bool))
+                found.append((part[asks], mine[has], scores[asks, has]))
+        if not found:
+            return meet(ask.slice(0, 0), have)
+        asks, has, scores = (np.concatenate(x) for x in zip(*found))
+        # of all leaves of the group a query keeps the best, and what ties with the last of them
+        order = np.lexsort((-scores, asks))
+        asks, has, scores = asks[order], has[order], scores[order]
+        first = np.flatnonzero(np.append(True, asks[1:] != asks[:-1]))
+        counts = np.diff(np.append(first, len(asks)))
+        last = scores[first + np.minimum(counts, most) - 1]
+        kept = scores >= np.repeat(last, counts)
+        asks, has = asks[kept], has[kept]
+        exact = (q[asks] * v[has]).sum(1)  # summed alike wherever the vector stands
+        return pa.table({"q": names[asks], "id": ids[has], "score": exact})
+
+    asking = durable(asked.mapInArrow(visit, "q long, v array<double>, g int, block int, leaves array<int>"))
+    # a row for each group of the tree: queries of a group are dealt to parts, and its vectors go to each
+    many = {r["g"]: -(-r["count"] // BLOCK) for r in asking.where("block = 0").groupBy("g").count().collect()}
+    of = lambda numbers: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in numbers.items() for x in item]), F.col("g")), F.lit(1)) if numbers else F.lit(1)
+    queried = {g: n for g, n in many.items() if n > 1}
+    blocked = {g: -(-n // BLOCK) for g, n in whole.items() if n > BLOCK}
+    asking = asking.withColumn("part", F.pmod(F.xxhash64("q"), of(queried)).cast("int"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), of(blocked)).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), of(queried) - 1)))
+    found = asking.groupBy("g", "block", "part").cogroup(dealt.groupBy("g", "block", "part")).applyInArrow(meet, "q long, id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     copies = members.where("nth > 1").select("rep", F.col("id").alias("copy"))
@@ -223,20 +262,20 @@ def neighbours(
     return (
         answers.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+        .select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score", F.lit(measured).alias("recall"))
     )
 
 
 def _calibrated(
-    placed: DataFrame, asked: DataFrame, tree: Tree, sizes: dict[int, int], d: int, k: int, recall: float
-) -> tuple[int, int]:
-    """The level to cut the tree at, and how many leaves to visit there.
+    placed: DataFrame, asked: DataFrame, tree: Tree, sizes: dict[int, int], d: int, k: int, recall: float, coarse: int
+) -> tuple[int, int, float]:
+    """The level to cut the tree at, how many leaves to visit there, and the recall of the sampled queries.
 
     At each level visits are widened until the sampled queries' exact neighbours are found.
     """
     rows = asked.orderBy(F.xxhash64("q", F.lit(3)), "q").limit(CALIBRATE).toArrow()
     if not len(rows):
-        return 1, 1
+        return 1, 1, 1.0
     queries, names = _matrix(rows.column("v"), d), rows.column("q").to_numpy()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +294,7 @@ def _calibrated(
     near = placed.mapInArrow(exact, "i long, id long, leaf int, score double")
     order = Window.partitionBy("i").orderBy(F.desc("score"), "id")
     truth = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("i", "leaf").collect()
-    best = (np.inf, 1, 1)
+    best = (np.inf, 1, 1, 1.0)
     for level in range(1, max(1, *tree.depth) + 1 if len(tree.depth) > 1 else 2):
         cut, held = tree.cut(level), {}
         for leaf, count in sizes.items():
@@ -267,5 +306,7 @@ def _calibrated(
         while len(needed) and (needed <= width).mean() < recall:
             width += 1
         scanned = np.mean([sum(held.get(leaf, 0) for leaf in o[:width]) for o in orders])
-        best = min(best, (scanned + VISIT * width, level, width))
-    return best[1], best[2]
+        reached = float((needed <= width).mean()) if len(needed) else 1.0
+        groups = np.mean([len({cut.at(leaf, coarse) for leaf in o[:width]}) for o in orders])
+        best = min(best, (scanned + VISIT * width + SEND * groups, level, width, reached))
+    return best[1:]

@@ -60,6 +60,22 @@ def test_neighbours_against_brute_force(spark):
     assert copies == sorted(copies) or v[100] @ v[100] < max(s for _, s in by[200])
 
 
+def test_vectors_without_clusters(spark):
+    v = np.random.default_rng(4).normal(size=(4000, 12))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = ann.neighbours(rows, F.col("vec_id") % 20 == 0).collect()
+    assert len(found) == 200 * 20 and all(abs(r["score"] - v[r["query_id"]] @ v[r["vec_id"]]) < 1e-9 for r in found)
+    hits, by = 0, {}
+    for r in found:
+        by.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 4000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert sorted(by[q]) == list(range(1, 21)) and all(s[by[q][i]] >= s[by[q][i + 1]] for i in range(1, 20))
+        hits += len(set(by[q].values()) & set(np.argsort(-s)[:20].tolist()))
+    assert hits / 4000 >= 0.95 and found[0]["recall"] >= 0.97
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     found = ann.neighbours(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
