@@ -76,22 +76,24 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def with_other_endings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns and pairs that set each conversation against itself with another one's last turn.
 
-    Conversations 2i and 2i + 1 lend each other their last turn; the rejected conversation of c is
-    named -1 - c. Without a partner it just lacks its last turn.
+    Conversations 2i and 2i + 1 lend each other their last turn; without a partner the rejected one just
+    lacks its last turn. The chosen conversation of c is named 2c, the rejected one 2c + 1; ids may be
+    negative, but not beyond 62 bits. Turns without a conversation are ignored.
     """
-    turns = turns.where("conv_id is not null and conv_id >= 0").select("conv_id", "turn", "role", "text")
+    named = lambda rejected: F.shiftleft(F.col("conv_id").cast("long"), 1).bitwiseOR(F.lit(rejected).cast("long"))
+    turns = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by(F.struct("role", "text"), F.struct("turn", "role", "text")).alias("end"))
-    begun = turns.join(last.select("conv_id", "last"), "conv_id").where("turn < last or turn is null").select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", "text")
+    begun = turns.join(last.select("conv_id", "last"), "conv_id").where("turn < last or turn is null").select(named(1).alias("conv_id"), "turn", "role", "text")
     lent = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "end").join(last.select("conv_id", "last"), "conv_id")
-    lent = lent.select((-1 - F.col("conv_id")).alias("conv_id"), F.col("last").alias("turn"), "end.role", "end.text")
-    pairs = last.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), (-1 - F.col("conv_id")).alias("rejected"))
-    return turns.union(begun).union(lent), pairs
+    lent = lent.select(named(1).alias("conv_id"), F.col("last").alias("turn"), "end.role", "end.text")
+    pairs = last.select(F.col("conv_id").alias("pair_id"), named(0).alias("chosen"), named(1).alias("rejected"))
+    return turns.withColumn("conv_id", named(0)).union(begun).union(lent), pairs
 
 
 #: DuckDB SQL of the query ``op8_preference``.
 ORACLE_SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id >= 0
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), ends AS (
   SELECT conv_id, max(turn) AS last, arg_max(struct_pack(role := role, text := text), struct_pack(a := turn, b := role, c := text)) AS fin
   FROM t GROUP BY conv_id

@@ -111,6 +111,20 @@ def test_preferences_match_sql(spark):
     assert sorted(tuple(map(str, r)) for r in found.select(*columns).collect()) == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in result.fetchall())
 
 
+def test_endings_of_odd_conversations_match_sql(spark):
+    rows = [
+        (-2, 0, "user", "a"), (-2, 1, "assistant", "b"), (-1, 0, "user", "a"), (-1, 1, "assistant", "c"), (-1, 1, "assistant", "c"),
+        (6, 0, "user", "alone"), (6, 1, None, "last"), (8, None, "user", "no turn"), (8, 0, "assistant", None), (None, 0, "user", "nobody's"), (0, 0, "user", ""),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = preference.preference_pairs(*preference.with_other_endings(turns)).drop("chosen_mask", "rejected_mask")
+    db = duckdb.connect()
+    db.register("conversations", turns.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    columns = sorted(pairs.columns)
+    expected = db.execute(f"SELECT {', '.join(columns)} FROM ({preference.ORACLE_SQL})").fetchall()
+    assert sorted(tuple(map(str, r)) for r in pairs.select(*columns).collect()) == sorted(tuple(map(str, r)) for r in expected) and len(expected) == 5
+
+
 def test_preference_masks_and_missing_sides(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (3, 0, None, "x"), (None, 0, "user", "y")]
     rows = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, pair_id int")
