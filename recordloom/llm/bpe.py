@@ -65,6 +65,8 @@ class Bpe:
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.added).items()}
+        #: First characters of the added tokens: a text without them holds none.
+        self.openers = {t[0] for t in self.added}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.written = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
@@ -74,7 +76,7 @@ class Bpe:
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at added tokens: (string, whether it is one of them)."""
-        if self.special is None or "<" not in text:
+        if not any(first in text for first in self.openers):
             return [(text, False)] if text else []
         out, at = [], 0
         for m in self.special.finditer(text):
