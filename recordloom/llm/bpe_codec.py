@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import tidied
+from recordloom.llm.common import pieces, tidied
 
 from recordloom.llm import bpe
 
@@ -203,8 +203,8 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "
     @tidied
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = ChunkCodec(tokenizer)  # what it remembers goes with the task
-        for batch in batches:
-            coded = [c.encode(t.as_py() or "") for t in batch]
+        for texts in (part for batch in batches for part in pieces(batch)):
+            coded = [c.encode(t.as_py() or "") for t in texts]
             yield pa.StructArray.from_arrays(
                 [pa.array(coded, pa.binary()), pa.array([c.decode(i) for i in coded], pa.string())], ["ids", "decoded"]
             )

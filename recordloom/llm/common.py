@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ def tidied(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return run
 
 
+def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """The array in slices of about ``size`` bytes of text, so that results far larger than the texts stay small."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        held += n or 0
+        if held >= size:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+    if start < len(texts) or not len(texts):
+        yield texts.slice(start)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
