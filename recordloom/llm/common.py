@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,3 +101,16 @@ def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def finite(vector: Column) -> Column:
+    """Whether an array of doubles is there, holds something, and no null or non-finite number."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine, F.lit(False))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Arrays of one length, none of them null, as the rows of a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)

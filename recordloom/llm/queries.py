@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import ann, bpe_codec, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream
+from recordloom.llm import ann, bpe_codec, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream, vector_codes
 from recordloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fit(docs, labelled_domains(spark, sf_dir), TARGETS)[1]
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -137,8 +143,9 @@ def queries() -> dict[str, Query]:
         "op8_preference": op8_preference,
         "op9_near_dup": op9_near_dup,
         "op10_mixing": op10_mixing,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_preference": preference.ORACLE_SQL}
+    return {"op8_preference": preference.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
