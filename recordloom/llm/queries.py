@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import ann, bpe_codec, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream, vector_codes
+from recordloom.llm import ann, bpe_codec, conversation_repair, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream, vector_codes
 from recordloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -144,8 +148,13 @@ def queries() -> dict[str, Query]:
         "op9_near_dup": op9_near_dup,
         "op10_mixing": op10_mixing,
         "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_preference": preference.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
+    return {
+        "op8_preference": preference.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+        "op13_conversation_repair": conversation_repair.ORACLE_SQL,
+    }
