@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import ann, bpe_codec, conversation_repair, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream, vector_codes
+from recordloom.llm import ann, bpe_codec, conversation_repair, embed_dedup, mixing, near_dup, preference, quality, substring_dedup, token_count, toxicity, transport_stream, vector_codes
 from recordloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fit(docs, labelled_domains(spark, sf_dir), TARGETS)[1]
 
 
+def op11_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     rows = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
@@ -147,6 +151,7 @@ def queries() -> dict[str, Query]:
         "op8_preference": op8_preference,
         "op9_near_dup": op9_near_dup,
         "op10_mixing": op10_mixing,
+        "op11_embed_dedup": op11_embed_dedup,
         "op12_vector_codes": op12_vector_codes,
         "op13_conversation_repair": op13_conversation_repair,
     }
@@ -155,6 +160,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_preference": preference.ORACLE_SQL,
+        "op11_embed_dedup": embed_dedup.ORACLE_SQL,
         "op12_vector_codes": vector_codes.ORACLE_SQL,
         "op13_conversation_repair": conversation_repair.ORACLE_SQL,
     }

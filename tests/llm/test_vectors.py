@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from recordloom.llm import vector_codes
+from recordloom.llm import embed_dedup, vector_codes
 
 SCHEMA = "vec_id long, embedding array<double>, label int, score string, v string, id string"
 
@@ -97,3 +97,77 @@ def test_tree_assigns_every_place_once():
                 seen += end - start
                 assert whole is None or (whole == tree.points[start:end].sum(0)).all()
             assert seen == n and (found == best).all()
+
+
+def linked(rows, similarity=0.93):
+    """n_links, component and kept of each row by comparing all: (id, vector, label)."""
+    usable = [r[2] is not None and bool(r[1]) and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
+    unit = [np.array(r[1], float) / max(map(abs, r[1])) if u else None for r, u in zip(rows, usable)]
+    unit = [None if u is None else u / np.linalg.norm(u) for u in unit]
+    near = [[j for j in range(len(rows)) if j != i and usable[i] and usable[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= similarity] for i in range(len(rows))]
+    out = []
+    for i, row in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        least = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((row[0], len(near[i]), least, row[0] == least if row[0] is not None and least is not None else not near[i]))
+    return sorted(out, key=repr)
+
+
+def found_links(df):
+    return sorted((tuple(r) for r in embed_dedup.near_vectors(df).collect()), key=repr)
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_links_of_families(spark, monkeypatch, block):
+    """Balls, families wider than a ball, chains, copies, and strangers; small blocks make pivots and tiles of them."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x)
+    centres = [unit(rng.normal(size=24)) for _ in range(6)]
+    vectors = [unit(centres[0] + 0.02 * rng.normal(size=24)) for _ in range(90)]  # a ball
+    vectors += [unit(centres[1] + 0.055 * rng.normal(size=24)) for _ in range(90)]  # many of these pairs are near the threshold
+    vectors += [centres[2]] * 30 + [3.0 * centres[2]] * 3  # copies, and of another length
+    a, b = centres[3], unit(centres[4] - (centres[4] @ centres[3]) * centres[3])
+    vectors += [np.cos(t) * a + np.sin(t) * b for t in np.arange(0, 3, 0.09)]  # a chain
+    vectors += [unit(rng.normal(size=24)) for _ in range(120)]
+    ids = rng.permutation(len(vectors))
+    rows = [(int(i), [float(x) for x in v], 1 if k % 11 else 2) for k, (i, v) in enumerate(zip(ids, vectors))]
+    assert found_links(frame(spark, rows).repartition(4)) == linked(rows)
+
+
+def test_links_of_odd_vectors(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
+    rows = [
+        (1, v, 1), (2, w, 1), (3, v, None), (4, v, 2), (5, v + [0.0], 1), (6, None, 1), (7, [], 1), (8, [0.0, 0.0, 0.0], 1), (9, [None, 1.0, 1.0], 1),
+        (10, [float("nan"), 1.0, 1.0], 1), (11, [float("inf"), 1.0, 1.0], 1), (None, v, 1), (None, [-1.0, 0.0, 0.0], 3), (None, [-1.0, 0.1, 0.0], 3), (None, v, None),
+        (12, [5.0], 4), (13, [1e-300], 4), (14, [-5.0], 4), (15, [1e300, 1e300], 4), (16, [1e-300, 1.1e-300], 4), (17, [0.0, 1.0], 4),
+        (20, [1.0, 0.0], 5), (20, [0.0, 1.0], 5), (20, [1.0, 0.0], 5),
+    ]
+    found = found_links(frame(spark, rows))
+    assert found == linked(rows)
+    assert {r[0]: r[1:] for r in found if r[0] in (1, 2, 5)} == {1: (2, 1, True), 2: (2, 1, False), 5: (0, 5, True)}
+    assert found_links(frame(spark, rows).limit(0)) == [] and found_links(frame(spark, [(1, None, 1)])) == [(1, 0, 1, True)]
+
+
+@pytest.mark.parametrize("d, words", [(64, 512), (64, 64), (3, 64), (300, 128)])
+def test_pairs_at_the_threshold_share_a_filter(d, words):
+    rng = np.random.default_rng(d)
+    a = embed_dedup.directed(rng.normal(size=(1500, d)))
+    other = rng.normal(size=a.shape)
+    other = embed_dedup.directed(other - (other * a).sum(1, keepdims=True) * a)
+    b = embed_dedup.directed(0.93 * a + np.sqrt(1 - 0.93**2) * other)
+    of_a, of_b = (embed_dedup.filters(x, words, 0.93) for x in (a, b))
+    missed = sum(not set(x.tolist()) & set(y.tolist()) for x, y in zip(of_a, of_b))
+    assert missed <= 3
+    # what a vector exceeds does not depend on who asks
+    assert all((embed_dedup.filters(a[i : i + 1], words, 0.93)[0] == of_a[i]).all() for i in range(0, 1500, 97))
+    code, height = embed_dedup.codes(d, words, 0.93)[0]
+    first, second = code.products(a[:5])
+    for listed, x, y in zip(code.exceeded(a[:5], height), first, second):
+        every = np.sort((x[:, None] + y).ravel())
+        assert sorted(listed) == np.flatnonzero((x[:, None] + y).ravel() >= min(height, every[-embed_dedup.LEAST])).tolist()
