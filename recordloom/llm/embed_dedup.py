@@ -47,6 +47,8 @@ BITS, DIMENSIONS = 14, 16
 PAIRS, BEST = 1024, 48
 #: Vectors of a block of a filter; larger filters elect pivots in so many turns at most, and the rest is compared.
 BLOCK, TURNS = 512, 4
+#: Tiles of so many rows are looked through all at once.
+SMALL = 32
 #: Rounding that a ball's members stand off from the bound.
 SLACK = 1e-9
 
@@ -193,7 +195,7 @@ def _verified(words: int, similarity: float):
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             edges = _edges(t)
-            found = [row for a, b in zip(edges[:-1], edges[1:-1]) if b - a > 1 for row in tile(t.slice(a, b - a))]
+            found = [row for a, b in zip(*_linking(t, edges[:-1], similarity)) for row in tile(t.slice(a, b - a))]
             if found:
                 yield send(found)
             rest = t.slice(edges[-2]) if len(t) else None
@@ -203,6 +205,29 @@ def _verified(words: int, similarity: float):
     return run
 
 
+def _linking(t: pa.Table, edges: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Where the tiles begin and end that may hold a link; small ones are compared all at once, row by next row."""
+    starts, ends = edges[:-1], edges[1:]
+    sizes = ends - starts
+    wanted = sizes > SMALL
+    small = np.flatnonzero((sizes > 1) & ~wanted)
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(starts[small], ends[small])] or [np.zeros(0, int)])
+    if len(rows):
+        part = t.take(pa.array(rows))
+        lengths = np.unique(part.column("d").to_numpy())
+        if len(lengths) > 1:
+            wanted[small] = True
+        else:
+            x = directed(matrix(part.column("v")))
+            of = np.repeat(small, sizes[small])
+            for k in range(1, SMALL):
+                near = np.flatnonzero(of[k:] == of[:-k])
+                if not len(near):
+                    break
+                wanted[of[near[np.einsum("ij,ij->i", x[near], x[near + k]) >= similarity - SLACK]]] = True
+    return starts[wanted].tolist(), ends[wanted].tolist()
+
+
 def _edges(t: pa.Table) -> np.ndarray:
     """Where the tiles of a sorted table begin, and its end."""
     new = np.zeros(len(t), bool)
@@ -319,7 +344,7 @@ def _links(held: DataFrame, balls: DataFrame, classes: DataFrame, words: int, si
         within = (F.col("part") >= 0) & F.col("other").between(F.col("first"), F.col("first") + F.col("blocks") - 1)
         tiles = placed.where(~within).select(*keys, "node", "ball", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         small = small.union(tiles)
-    whole = small.join(classes.select("node", "v", "m"), "node")
+    whole = small.join(classes.select("node", "d", "v", "m"), "node")
     tile = [*keys, "low", "high"]
     return whole.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_verified(words, similarity), "node long, links long, other long")
 
