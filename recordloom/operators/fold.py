@@ -5,13 +5,20 @@ one, a delete likewise but only after a first upsert; a delete of a deleted reco
 time. Whether a mutation is accepted depends only on the running maximum of the times before it, so
 the fold is one shuffle on the URI and window functions. The result does not depend on how a log is
 cut into batches.
+
+A URI that holds more than a share of the log is *hot*: its rows are cut into slices along ``seq``, so that no task
+gets them all. A slice needs to know of the ones before it whether an upsert came, the latest
+accepted time and the last accepted op; these are maxima of what each slice has by itself, taken
+over the slices, of which there are few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from recordloom.errors import IndexError_
 from recordloom.schema import FEED, RECORD_COLUMNS
@@ -19,6 +26,10 @@ from recordloom.schema import FEED, RECORD_COLUMNS
 #: Times are kept in 63 bits; others are skipped, or refused by ``validated``.
 LATEST = (1 << 63) - 1
 _SEED = "__seed"
+#: A URI is hot beyond so many rows, if they are more than one of so many parts of the log.
+HOT, SHARE = 10_000, 1000
+#: Slices of a hot URI, of all of them together, and rows that they are laid out by.
+SLICES, CUTS, SAMPLE = 128, 1024, 8192
 
 
 def in_range(mutations: DataFrame) -> DataFrame:
@@ -52,16 +63,71 @@ def with_state(mutations: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def accepted(log: DataFrame) -> DataFrame:
-    """The mutations that have an effect on the time or the content of their record, with ``before`` (the op before)."""
+    """The mutations that have an effect on the time or the content of their record, with ``before`` (the op before).
+
+    This counts the rows of each URI first, to find the hot ones; without any the rest is one plan.
+    """
+    rows = log.where("uri is not null")
+    hot = _hot(rows)
+    if not hot:
+        return _accepted(rows)
+    is_hot = F.col("uri").isin(hot)
+    return _accepted(rows.where(~is_hot)).unionByName(_accepted_in_slices(rows.where(is_hot), len(hot)))
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
     by_uri = Window.partitionBy("uri")
     arrival = by_uri.orderBy("seq")
     earlier = arrival.rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.where("uri is not null").withColumn("__first", F.min(F.when(F.col("op") == "U", F.col("seq"))).over(by_uri))
+    rows = rows.withColumn("__first", F.min(F.when(F.col("op") == "U", F.col("seq"))).over(by_uri))
     rows = rows.where("seq >= __first").withColumn("__latest", F.max("indexed_at").over(earlier))
     rows = rows.where("__latest is null or indexed_at >= __latest")
     return rows.withColumn("before", F.lag("op").over(arrival)).drop("__first", "__latest")
 
 
+def _hot(rows: DataFrame) -> list[str]:
+    """URIs of more than HOT rows that hold more than one of SHARE parts of all rows; fewer than SHARE, so they go through the driver."""
+    counts = rows.groupBy("uri").agg(F.count("*").alias("n"))
+    least = counts.where(F.col("n") > HOT)
+    if least.isEmpty():
+        return []
+    total = counts.agg(F.sum("n")).first()[0]
+    return [r["uri"] for r in least.where(F.col("n") * SHARE > total).select("uri").collect()]
+
+
+def _accepted_in_slices(rows: DataFrame, uris: int) -> DataFrame:
+    """``accepted`` for a few URIs of many rows each. Slices end at the quantiles of a sample of ``seq``."""
+    some = rows.orderBy(F.xxhash64("uri", "seq")).limit(SAMPLE).select("seq")
+    cuts = min(SLICES * uris, CUTS)
+    ends = sorted(r["seq"] for r in some.collect())
+    ends = list(dict.fromkeys(ends[len(ends) * i // cuts] for i in range(1, cuts)))
+    # one literal: an array of a thousand would be as many expressions
+    kind = ArrayType(rows.schema["seq"].dataType)
+    known = F.from_json(F.lit(json.dumps([e.asDict() if isinstance(e, Row) else e for e in ends])), kind)
+    before = F.size(F.filter(known, lambda e: e <= F.col("seq")))
+    sliced = rows.withColumn("__slice", before)
+    part = ["uri", "__slice"]
+    arrival = Window.partitionBy(*part).orderBy("seq")
+    up = F.col("op") == "U"
+    rows = sliced.withColumn("__first", F.min(F.when(up, F.col("seq"))).over(Window.partitionBy(*part)))
+    # what a slice has by itself: a first upsert, and the latest time of all of it and from that upsert on
+    own = rows.groupBy(*part).agg(
+        F.first("__first").alias("first"), F.max("indexed_at").alias("all"), F.max(F.when(F.col("seq") >= F.col("__first"), F.col("indexed_at"))).alias("from_first")
+    )
+    slices = Window.partitionBy("uri").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.max(F.col("first").isNotNull()).over(slices), F.lit(False))
+    own = own.withColumn("begun", begun).withColumn("latest", F.when(F.col("begun"), F.col("all")).otherwise(F.col("from_first")))
+    known = own.select(*part, "begun", F.max("latest").over(slices).alias("so_far"))
+    rows = rows.join(F.broadcast(known), part)  # a row for each slice of fewer than SHARE URIs
+    rows = rows.where("begun or seq >= __first")
+    latest = F.greatest("so_far", F.max("indexed_at").over(arrival.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("__latest", latest).where("__latest is null or indexed_at >= __latest")
+    last = rows.groupBy(*part).agg(F.max_by("op", "seq").alias("op"))
+    last = last.select(*part, F.last("op", ignorenulls=True).over(slices).alias("__op"))
+    rows = rows.join(F.broadcast(last), part).withColumn("before", F.coalesce(F.lag("op").over(arrival), "__op"))
+    return rows.drop("__first", "__latest", "__slice", "__op", "begun", "so_far")
+
+
 def fold(mutations: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The records after ``mutations`` (schema MUTATIONS), from ``state`` or from nothing."""
     rows = accepted(with_state(in_range(mutations), state))

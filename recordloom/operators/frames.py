@@ -17,8 +17,22 @@ _FIELDS = ("did", "kind", "time_us", "commit", "commit.operation", "commit.colle
 _U64 = "18446744073709551615"
 
 
+#: Why a frame is dropped, or means no more than its time.
+REASONS = ("no frame", "time too late", "no time", "bad commit")
+
+
 def parsed(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
-    """``frames`` with an ``event`` struct; frames that mean nothing are left out.
+    """``frames`` with an ``event`` struct; frames that mean nothing are left out."""
+    return judged(frames, value, now).where(F.col("event.event_type").isNotNull()).drop("reason")
+
+
+def rejected(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
+    """``frames`` with ``reason``: those that are dropped, and commits that cannot be meant, of which the time is used at most."""
+    return judged(frames, value, now).where(F.col("reason").isNotNull()).drop("event")
+
+
+def judged(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
+    """All ``frames`` with an ``event`` struct, whose event_type is null for those that mean nothing, and the ``reason`` (see REASONS).
 
     event: event_type (commit, heartbeat, other), did, time_us, kind, operation, collection, rkey, cid,
     record_json. ``now`` (microseconds) bounds times, five years ahead; it is the current time if not
@@ -59,14 +73,19 @@ def parsed(frames: DataFrame, value: str = "value", now: Column | None = None) -
     operation = ids.operation_of(f["operation"])
     good = ids.is_valid_did(f["did"]) & ids.is_valid_collection(f["collection"]) & ids.is_valid_rkey(f["rkey"]) & operation.isNotNull()
     is_commit = f["kind"] == "commit"
-    kind = (
-        F.when(~F.coalesce(shape & is_valid_time(t, now), F.lit(False)), None)
-        .when(is_commit & F.coalesce(good, F.lit(False)), "commit")
-        .when(is_commit | f["kind"].isNull(), F.when(t > 0, "heartbeat"))
-        .otherwise(F.when(t > 0, "other"))
+    shaped, early = F.coalesce(shape, F.lit(False)), F.coalesce(is_valid_time(t, now), F.lit(False))
+    is_good = is_commit & F.coalesce(good, F.lit(False))
+    of = lambda kind, reason: F.struct(F.lit(kind).cast("string").alias("kind"), F.lit(reason).cast("string").alias("reason"))
+    verdict = (
+        F.when(~shaped, of(None, "no frame"))
+        .when(~early, of(None, "time too late"))
+        .when(is_good, of("commit", None))
+        .when(is_commit, F.when(t > 0, of("heartbeat", "bad commit")).otherwise(of(None, "bad commit")))
+        .when(~(t > 0), of(None, "no time"))
+        .otherwise(F.when(f["kind"].isNull(), of("heartbeat", None)).otherwise(of("other", None)))
     )
-    rows = once(rows, "__k", kind)
-    k = F.col("__k")
+    rows = once(rows, "__k", verdict)
+    k = F.col("__k.kind")
     of_commit = lambda x: F.when(k == "commit", x)
     event = F.struct(
         k.alias("event_type"),
@@ -79,17 +98,22 @@ def parsed(frames: DataFrame, value: str = "value", now: Column | None = None) -
         of_commit(f["cid"]).alias("cid"),
         of_commit(F.get_json_object(value, "$.commit.record")).alias("record_json"),
     )
-    return rows.where(k.isNotNull()).withColumn("event", event).drop("__d", "__f", "__k")
+    return rows.withColumn("event", event).withColumn("reason", F.col("__k.reason")).drop("__d", "__f", "__k")
 
 
-def wanted(events: DataFrame, collections: list[str] = (), dids: list[str] = ()) -> DataFrame:
-    """Commits of these collections and DIDs; an empty list wants all. Other events go."""
-    rows = events.where("event.event_type = 'commit'")
+def is_wanted(collections: list[str] = (), dids: list[str] = ()) -> Column:
+    """Whether an event is a commit of these collections and DIDs; an empty list wants all."""
+    yes = F.col("event.event_type") == "commit"
     if collections:
-        rows = rows.where(F.col("event.collection").isin(*collections))
+        yes &= F.col("event.collection").isin(*collections)
     if dids:
-        rows = rows.where(F.col("event.did").isin(*dids))
-    return rows
+        yes &= F.col("event.did").isin(*dids)
+    return F.coalesce(yes, F.lit(False))
+
+
+def wanted(events: DataFrame, collections: list[str] = (), dids: list[str] = ()) -> DataFrame:
+    """Commits of these collections and DIDs; an empty list wants all. Other events go."""
+    return events.where(is_wanted(collections, dids))
 
 
 def timestamps(frames: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:

@@ -9,18 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.errors import IndexError_
 from recordloom.functions.jsonpath import TypedKey, ascii_lower, compare, like_regex, literal_of, normalise_path, quoted_path
 from recordloom.functions.once import once
+from recordloom.operators.numbering import numbered
 from recordloom.schema import RECORD_COLUMNS
 
 COMPARISONS = {"eq": "=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 SORTABLE = ("indexed_at", "uri", "did", "collection", "rkey", "cid")
-#: The largest limit and offset given to Spark at once: the sum of two may not pass 31 bits.
-_MOST = (1 << 30) - 1
+#: An offset and a limit of so many rows together are a top-k, whose rows meet in one task; others go by row numbers.
+TOP = 1 << 16
 
 
 def predicate(document: Column, path: str, op: str, value) -> Column:
@@ -141,36 +142,47 @@ class RecordQuery:
         return replace(self, last_uri=uri)
 
     def pages(self, size: int) -> DataFrame:
-        """All rows with ``page``, from 0 on: the pages of ``size`` rows that a paging loop to exhaustion would read."""
+        """All rows with ``page``, from 0 on: the pages of ``size`` rows that a paging loop to exhaustion would read.
+
+        Rows are numbered over all tasks (see ``numbering``), which runs when this is called. With an
+        offset or a limit the pages are cut from the whole order, and only their rows within it are there.
+        """
+        if size < 1:
+            raise IndexError_("a page holds at least one row")
         rows, keys = self._rows()
-        number = F.sum(F.lit(1).cast("long")).over(Window.orderBy(*keys, F.col("uri")).rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("page", F.floor((number - 1) / size).cast("long"))
-        return _paged(rows, keys, self.skip, self.most).select(*RECORD_COLUMNS, "page")
+        rows = _within(numbered(rows, [*keys, F.col("uri")], RECORD_COLUMNS), self.skip, self.most)
+        return rows.select(*RECORD_COLUMNS, F.floor(F.col("number") / size).cast("long").alias("page"))
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """One page, in order: a top-k if it is near the beginning."""
+        return replace(self, skip=(self.skip or 0) + number * size, most=max(0, size if self.most is None else min(size, self.most - number * size))).dataframe()
+
+    def cursors(self, size: int) -> DataFrame:
+        """A row for each page: page, first_uri, last_uri and rows, from which every page can be read by itself."""
+        by = lambda f: f("uri", F.struct("page", "number"))
+        rows, keys = self._rows()
+        rows = _within(numbered(rows, [*keys, F.col("uri")], ["uri"]), self.skip, self.most)
+        rows = rows.withColumn("page", F.floor(F.col("number") / size).cast("long"))
+        return rows.groupBy("page").agg(by(F.min_by).alias("first_uri"), by(F.max_by).alias("last_uri"), F.count("*").alias("rows"))
 
     def dataframe(self) -> DataFrame:
-        """The plan. Paging and ties are made repeatable by the URI as the last key."""
+        """The plan. Paging and ties are made repeatable by the URI as the last key.
+
+        An offset and a limit of up to TOP rows together are a plan that runs later; beyond that, or with
+        an offset alone, rows are numbered over all tasks at once, and what is returned reads them.
+        """
         rows, keys = self._rows()
-        return _paged(rows, keys, self.skip, self.most).select(*RECORD_COLUMNS)
+        order, skip, most = [*keys, F.col("uri")], self.skip or 0, self.most
+        if most is not None and (most == 0 or skip + most <= TOP):
+            return rows.orderBy(*order).offset(skip).limit(most).select(*RECORD_COLUMNS)
+        if skip or most is not None:
+            return _within(numbered(rows, order, RECORD_COLUMNS), skip, most).orderBy("number").select(*RECORD_COLUMNS)
+        return (rows.orderBy(*order) if keys else rows).select(*RECORD_COLUMNS)
 
 
-def _paged(rows: DataFrame, keys: list[Column], skip: int | None, most: int | None) -> DataFrame:
-    """The rows in order without the first ``skip``, at most ``most``: any numbers, though Spark's are of 31 bits."""
-    if keys or most is not None or skip is not None:
-        rows = rows.orderBy(*keys, F.col("uri"))
+def _within(rows: DataFrame, skip: int | None, most: int | None) -> DataFrame:
+    """Numbered rows after the first ``skip``, at most ``most``: any numbers, though Spark's are of 31 bits."""
     skip = skip or 0
-    while skip > _MOST:
-        rows, skip = once(rows.offset(_MOST), "__skipped", F.lit(0)).drop("__skipped"), skip - _MOST
     if skip:
-        rows = rows.offset(skip)
-    if most is None:
-        return rows
-    out = rows.limit(min(most, _MOST))
-    if most > _MOST:
-        out = out.union(_paged_on(rows, most - _MOST))
-    return out
-
-
-def _paged_on(rows: DataFrame, most: int) -> DataFrame:
-    """The rows after the first _MOST, at most ``most``."""
-    rows = once(rows.offset(_MOST), "__skipped", F.lit(0)).drop("__skipped")
-    return rows.limit(most) if most <= _MOST else rows.limit(_MOST).union(_paged_on(rows, most - _MOST))
+        rows = rows.where(F.col("number") >= skip)
+    return rows if most is None else rows.where(F.col("number") < skip + most)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.errors import ConfigError
 from recordloom.operators.query import RecordQuery
+from recordloom.sources.scratch import shared_folder
 from recordloom.sources.store import RecordStore
 from recordloom.streaming import ingest
 
@@ -24,6 +24,10 @@ class Config:
     collections: tuple[str, ...] = ()
     dids: tuple[str, ...] = ()
     files_per_batch: int = 100
+    #: Count as records applied one by one do.
+    single: bool = False
+    #: Where rejected frames are written, if anywhere.
+    rejected_path: str | None = None
 
     def with_storage(self, path: str) -> Config:
         return replace(self, storage_path=path)
@@ -37,10 +41,7 @@ class Config:
 
 
 def _session_folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ConfigError("a store for the session needs spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='recordloom-')}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 class Engine:
@@ -74,4 +75,4 @@ class Engine:
     def ingest(self, source: DataFrame, drain: bool = True):
         if not self.config.checkpoint_path:
             raise ConfigError("no checkpoint is configured")
-        return ingest.start(source, self.store, self.config.checkpoint_path, self.config.collections, self.config.dids, drain=drain)
+        return ingest.start(source, self.store, self.config.checkpoint_path, self.config.collections, self.config.dids, drain=drain, single=self.config.single, rejected_path=self.config.rejected_path)
