@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recordloom.errors import IndexError_
 from recordloom.functions.jsonpath import TypedKey, ascii_lower, compare, like_regex, literal_of, normalise_path, quoted_path
 from recordloom.functions.once import once
+from recordloom.operators import typed
 from recordloom.operators.numbering import numbered
 from recordloom.schema import RECORD_COLUMNS
 
@@ -91,17 +92,26 @@ class RecordQuery:
         return replace(self, deleted=yes)
 
     def _keyed(self, rows: DataFrame) -> tuple[DataFrame, Callable[[str], TypedKey]]:
-        """``rows`` with the value at each JSON path that is asked for, all out of one parse, and the keys over them."""
+        """``rows`` with the value at each JSON path that is asked for, all out of one parse, and the keys over them.
+
+        Paths that ``rows`` has typed columns of are not looked for in the document.
+        """
         paths = {path: quoted_path(path) for path in [p for p, _, _ in self.clauses] + [c for c, _ in self.keys if c not in SORTABLE]}
-        found = list(dict.fromkeys(p for p in paths.values() if p is not None))
+        stored = {path: key for path in paths if (key := typed.stored_key(rows, path)) is not None}
+        bound = typed.bounds(typed.bound(stored[path], op, value) for path, op, value in self.clauses if path in stored)
+        if bound is not None:
+            rows = rows.where(bound)
+        found = list(dict.fromkeys(p for path, p in paths.items() if p is not None and path not in stored))
         if not found:
-            return rows, lambda path: TypedKey.nothing()
+            return rows, lambda path: stored.get(path) or TypedKey.nothing()
         document = F.col("record_json")
         rows = once(rows, "__v", F.try_parse_json(document))
         rows = once(rows, "__items", F.struct(*[F.try_variant_get("__v", p, "variant").alias(f"i{n}") for n, p in enumerate(found)]))
         rows = once(rows, "__kinds", F.struct(*[F.schema_of_variant(F.col(f"__items.i{n}")).alias(f"k{n}") for n in range(len(found))]))
 
         def key(path: str) -> TypedKey:
+            if path in stored:
+                return stored[path]
             if paths[path] is None:
                 return TypedKey.nothing()
             n = found.index(paths[path])

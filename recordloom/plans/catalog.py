@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import facets, identifiers, lexicon, timefmt
 from recordloom.functions.once import once
-from recordloom.operators import fold, frames
+from recordloom.operators import fold, frames, typed
 from recordloom.operators.query import RecordQuery
 from recordloom.sources import paged, store
-from recordloom.sources.scratch import shared_folder
+from recordloom.sources.scratch import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,8 +136,12 @@ def _record_query(name: str, build: Callable[[RecordQuery], RecordQuery], where:
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = build(RecordQuery(records(spark, sf_dir)).collection(collection)).dataframe()
-        return rows.select("uri", "indexed_at", "is_deleted")
+        return over(records(spark, sf_dir))
+
+    def over(rows: DataFrame) -> DataFrame:
+        return build(RecordQuery(rows).collection(collection)).dataframe().select("uri", "indexed_at", "is_deleted")
+
+    run.over = over
 
 
 for name, clause, where in [
@@ -704,3 +708,22 @@ def paged_lists_read(spark, sf_dir):
 def frames_rejected(spark, sf_dir):
     """Every frame that is dropped or means no more than its time, and why."""
     return frames.rejected(frame_lines(spark, sf_dir), now=F.lit(NOW)).select("seq", "reason")
+
+
+# -- typed paths
+
+
+_PATHS = ["k", "value", "even", "title", "note"]
+
+
+@query("eight_clauses_on_typed_paths", ORACLES["eight_clauses"])
+def eight_clauses_on_typed_paths(spark, sf_dir):
+    """``eight_clauses`` over a table that keeps the paths as columns: bounds reach the scan, and no document is parsed."""
+    rows = written(typed.with_paths(records(spark, sf_dir), _PATHS).repartitionByRange("collection", "indexed_at"))
+    return QUERIES["eight_clauses"].over(rows)
+
+
+@query("order_by_typed_path", ORACLES["order_by_json"])
+def order_by_typed_path(spark, sf_dir):
+    """``order_by_json`` by typed columns."""
+    return QUERIES["order_by_json"].over(typed.with_paths(records(spark, sf_dir), _PATHS))

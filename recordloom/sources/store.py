@@ -16,8 +16,9 @@ come between any two batches of a stream. A writer's numbers only grow.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recordloom.errors import StorageError
-from recordloom.operators import fold
+from recordloom.operators import fold, typed
 from recordloom.operators.metrics import observed
 from recordloom.operators.query import RecordQuery
 from recordloom.schema import FEED, MUTATIONS, RECORD_COLUMNS, RECORDS
 
 CURSOR = "cursor"
+#: The store's own meta value: the paths whose columns the base has.
+_PATHS = "store:paths"
 #: token: the name of the batch's rows in the log; writer, number: its identity; deletes: the name of deletes that stand in
 #: for the log; base, buckets, writers and kept meta: the state that a base commit starts from.
 COMMITS = (
@@ -87,10 +90,14 @@ class _Log:
 
 
 class RecordStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER):
-        """``buckets`` is the same for all who open a store; a base of another number is an error."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER, paths: Sequence[str] = ()):
+        """``buckets`` is the same for all who open a store; a base of another number is an error.
+
+        ``paths`` are JSON paths that the base keeps as typed columns (see ``typed``), for queries that filter or
+        sort by them. With other paths than the base has they are made while reading, until the next compaction.
+        """
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets, self.compact_after = buckets, compact_after
+        self.buckets, self.compact_after, self.paths = buckets, compact_after, sorted(set(paths))
 
     # -- tables
 
@@ -115,30 +122,40 @@ class RecordStore:
         """The versions that are whole."""
         return sorted(r["version"] for r in self._read("commits", COMMITS).select("version").collect())
 
-    def _state(self, log: _Log, buckets: list[int] | None = None, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-        """Records, tombstones included, of these buckets and of the rows that ``only`` lets through, before they are folded."""
-        base = only(self._base(log, buckets))
+    def _state(
+        self, log: _Log, buckets: list[int] | None = None, only: Callable[[DataFrame], DataFrame] = lambda rows: rows, paths: Sequence[str] = ()
+    ) -> DataFrame:
+        """Records, tombstones included, of these buckets and of the rows that ``only`` lets through, with columns of ``paths``.
+
+        Records that no batch since the base names are read as they stand, and filters on them reach their files;
+        only the others are folded.
+        """
+        base = only(self._base(log, buckets, paths))
         if not log.batches:
             return base
         rows = self._read("log", f"{MUTATIONS}, bucket int, token string", [f"token={t}" for t in log.batches])
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(buckets))
         version = F.create_map(*[F.lit(x) for item in log.batches.items() for x in item])[F.col("token")]
-        rows = rows.withColumn("seq", F.struct(version.cast("long").alias("batch"), "seq")).drop("bucket", "token")
-        return fold.fold(only(rows), base)
+        rows = only(rows.withColumn("seq", F.struct(version.cast("long").alias("batch"), "seq")).drop("bucket", "token"))
+        named = rows.select("uri").distinct()
+        folded = fold.fold(rows, base.select(*RECORD_COLUMNS).join(named, "uri", "left_semi"))
+        return base.join(named, "uri", "left_anti").unionByName(typed.with_paths(folded, paths))
 
-    def _base(self, log: _Log, buckets: list[int] | None = None) -> DataFrame:
+    def _base(self, log: _Log, buckets: list[int] | None = None, paths: Sequence[str] = ()) -> DataFrame:
         names = {b: n for b, n in log.names.items() if n and (buckets is None or b in buckets)}
         if any(b >= self.buckets for b in log.names):
             raise StorageError(f"the store has more than {self.buckets} buckets")
-        rows = self._read("base", f"{RECORDS}, name string, bucket int", [f"name={n}/bucket={b}" for b, n in names.items()])
+        kept = paths if log.meta.get(_PATHS) == json.dumps(self.paths) else ()
+        rows = self._read("base", f"{RECORDS}{typed.schema(kept)}, name string, bucket int", [f"name={n}/bucket={b}" for b, n in names.items()])
         time = F.when(F.col("indexed_at") < 0, F.raise_error(F.concat(F.lit("a stored record has a negative time: "), "uri"))).otherwise(F.col("indexed_at"))
-        return rows.withColumn("indexed_at", time.cast("long")).select(*RECORD_COLUMNS)
+        rows = rows.withColumn("indexed_at", time.cast("long")).select(*RECORD_COLUMNS, *[c for p in kept for c in typed.names(p).values()])
+        return rows if kept or not paths else typed.with_paths(rows, paths)
 
-    def records(self, collection: str | None = None) -> DataFrame:
-        """All records, tombstones included; or those of a collection, of which alone the tables are read."""
-        log = self._commits()
-        return self._state(log) if collection is None else self._state(log, None, lambda rows: rows.where(F.col("collection") == collection))
+    def records(self, collection: str | None = None, typed_paths: bool = False) -> DataFrame:
+        """All records, tombstones included; or those of a collection, of which alone the tables are read. With the columns of the store's paths, if asked for."""
+        only = (lambda rows: rows) if collection is None else lambda rows: rows.where(F.col("collection") == collection)
+        return self._state(self._commits(), None, only, self.paths if typed_paths else ())
 
     def changes(self, version: int | None = None) -> DataFrame:
         """The change feed of one version, the newest if not given."""
@@ -230,16 +247,18 @@ class RecordStore:
         log = self._commits()
         for _ in range(TRIES):
             self._publish(log)
-            buckets = self._logged(log) if touched is None else sorted({*touched, *self._logged(log)})
+            buckets = sorted({*(touched or []), *self._logged(log)})
+            if log.meta.get(_PATHS, "[]") != json.dumps(self.paths):  # the base gets other columns
+                buckets = list(range(self.buckets))
             name, fed = uuid.uuid4().hex, uuid.uuid4().hex if deletes else None
             if deletes:
                 deletes(log).write.parquet(f"{self.path}/deletes/{fed}")
             seen = Observation()
-            rows = records(log, buckets).withColumn("bucket", bucket_of("uri", self.buckets)).observe(seen, F.collect_set("bucket").alias("held"))
+            rows = typed.with_paths(records(log, buckets), self.paths).withColumn("bucket", bucket_of("uri", self.buckets)).observe(seen, F.collect_set("bucket").alias("held"))
             rows.repartition("bucket").sortWithinPartitions("bucket", "collection", "indexed_at").write.partitionBy("bucket", "collection").parquet(f"{self.path}/base/name={name}")
             held = set(observed(seen, held=[])["held"])
             names = log.names | {b: name if b in held else "" for b in buckets}
-            version, log = self._commit(log, deletes=fed, meta=log.meta, is_base=True, names=names, writers=log.writers)
+            version, log = self._commit(log, deletes=fed, meta=log.meta | {_PATHS: json.dumps(self.paths)}, is_base=True, names=names, writers=log.writers)
             if version:
                 self._mark("bases", version)
                 after = self._commits()
@@ -326,13 +345,13 @@ class RecordStore:
         return lookup(self._state(self._commits(), [bucket], lambda rows: rows.where(F.col("uri") == uri)), uri, include_deleted)
 
     def query(self) -> RecordQuery:
-        return RecordQuery(self.records)
+        return RecordQuery(lambda collection: self.records(collection, typed_paths=True))
 
     # -- meta values
 
     def meta(self) -> dict[str, str]:
         """The newest value of each key."""
-        return {k: v for k, v in self._commits().meta.items() if v is not None}
+        return {k: v for k, v in self._commits().meta.items() if v is not None and k != _PATHS}
 
     def _set(self, values: Callable[[_Log], dict[str, str | None] | None]) -> bool:
         log = self._commits()
