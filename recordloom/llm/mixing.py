@@ -18,7 +18,7 @@
 3. If the turns end before the targets are met, the fit is taken to its optimum. There a rate is
    max(0, 1 - sum_k p_ik e_k / pull) for relative errors e, which are the minimum of
 
-       sum_k t_k (e_k + e_k^2 / 2)  +  pull/2 sum_i n_i max(0, 1 - sum_k p_ik e_k / pull)^2
+       sum_k t_k e_k + s_k e_k^2 / 2  +  pull/2 sum_i n_i max(0, 1 - sum_k p_ik e_k / pull)^2
 
    Newton steps on these few numbers find it, each one aggregation over the same rows, and one turn
    from rate 1 replays it. Errors that are left then are those that no rates undo without more pull
@@ -44,6 +44,8 @@ BUCKETS, TRAIN = 8192, 20000
 TURNS, ENOUGH, PULL = 24, 1e-4, 1e-3
 #: Relative residual at which the optimum counts as found, and relative error of a domain that is warned of.
 SETTLED, MISSED = 1e-6, 0.02
+#: Share of the tokens that the error of a domain is relative to if its target is zero.
+FLOOR = 0.01
 #: Log-odds of a document grow with the root of its length: words of a text are not independent.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -139,8 +141,20 @@ def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: st
     return Mixer(domains, logs[0] - logs[0].mean(0), logs[1], prior, [], 0.0)
 
 
-def _optimum(weighty: DataFrame, wanted: np.ndarray, pull: float, start: list[float]) -> list[float]:
-    """The relative errors at the optimum of the rates, by Newton steps from ``start``; an error if they do not settle."""
+def checked(targets: dict[str, float]) -> dict[str, float]:
+    """The targets, or an error that says why they cannot be meant."""
+    if not targets:
+        raise ValueError("mixing needs the target of at least one domain")
+    bad = {d: t for d, t in targets.items() if not (math.isfinite(t) and t >= 0)}
+    if bad:
+        raise ValueError(f"targets must be finite and not negative: {bad}")
+    if sum(targets.values()) == 0:
+        raise ValueError("all targets are zero: no rates can keep the number of tokens")
+    return targets
+
+
+def _optimum(weighty: DataFrame, wanted: np.ndarray, scale: np.ndarray, pull: float, start: list[float]) -> list[float]:
+    """The errors, relative to ``scale``, at the optimum of the rates, by Newton steps from ``start``; an error if they do not settle."""
     k = len(wanted)
 
     def at(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -151,16 +165,16 @@ def _optimum(weighty: DataFrame, wanted: np.ndarray, pull: float, start: list[fl
         p = [F.col("__p")[j] for j in range(k)]
         pairs = [(a, b) for a in range(k) for b in range(a, k)]
         sums = rows.agg(total(F.col("__r") * F.col("__r")), *[total(F.col("__r") * x) for x in p], *[total(p[a] * p[b]) for a, b in pairs]).first()
-        curve = np.diag(wanted.astype(float))
+        curve = np.diag(scale.astype(float))
         for (a, b), x in zip(pairs, sums[1 + k :]):
             curve[[a, b], [b, a]] += x / pull
-        return float(wanted @ (e + e * e / 2)) + pull / 2 * sums[0], wanted * (1 + e) - np.array(sums[1 : 1 + k]), curve
+        return float(wanted @ e + scale @ (e * e) / 2) + pull / 2 * sums[0], wanted + scale * e - np.array(sums[1 : 1 + k]), curve
 
     e = np.array(start, float)
     height, slope, curve = at(e)
-    while np.abs(slope / wanted).max() > SETTLED:
+    while np.abs(slope / scale).max() > SETTLED:
         move, part = -np.linalg.solve(curve, slope), 1.0
-        while (new := at(e + part * move))[0] > height + 1e-4 * part * float(slope @ move) and np.abs(new[1] / wanted).max() > SETTLED:
+        while (new := at(e + part * move))[0] > height + 1e-4 * part * float(slope @ move) and np.abs(new[1] / scale).max() > SETTLED:
             part /= 2
             if part < 1e-12:
                 raise ArithmeticError("the rates do not settle")
@@ -178,10 +192,12 @@ def fit(
     ``labelled`` has (id, domain); ``targets`` gives each domain's share of the tokens, which are
     normalised; the total stays that of ``docs``. Documents that are labelled more than once have
     the smallest of their domains. Without labels all posteriors are the prior; without tokens all
-    rates are 1. The descent ends where all errors are below ``enough`` (``Mixer.met``), or at the
+    rates are 1. Targets must be finite, not negative and not all zero; a domain whose target is zero has
+    its error relative to FLOOR of all tokens, and as posteriors are never zero it is warned of if some share is
+    left to it. The descent ends where all errors are below ``enough`` (``Mixer.met``), or at the
     optimum; the errors left are in ``Mixer.errors``.
     """
-    domains = sorted(targets)
+    domains = sorted(checked(targets))
     mixer = _classifier(docs, labelled, domains, id, text)
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
     k = len(domains)
@@ -194,19 +210,20 @@ def fit(
     if moments["n"]:
         total = float(moments["n"])
         wanted = shares * total
-        curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(wanted, wanted))
+        scale = np.where(wanted > 0, wanted, FLOOR * total)
+        curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(scale, scale))
         mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
         for _ in range(turns):
             weighed = weighty.select((F.col("__n") * _rate(F.col("__p"), mixer, pull)).alias("w"), "__p")
             sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
-            errors = [(sums[f"s{j}"] - wanted[j]) / wanted[j] for j in range(k)]
+            errors = [(sums[f"s{j}"] - wanted[j]) / scale[j] for j in range(k)]
             if max(map(abs, errors)) < enough:
                 break
             mixer.turns.append(errors)
         else:
             if pull <= 0:
                 raise ArithmeticError(f"the targets are not met after {turns} turns, and without a pull there is no one optimum")
-            errors = _optimum(weighty, wanted, pull, errors if turns else [0.0] * k)
+            errors = _optimum(weighty, wanted, scale, pull, errors if turns else [0.0] * k)
             mixer.turns = [[e / (pull * mixer.step) for e in errors]]
         mixer.errors, mixer.met = errors, max(map(abs, errors)) < enough
         missed = {d: round(e, 4) for d, e in zip(domains, errors) if abs(e) > MISSED}

@@ -1,3 +1,7 @@
+import math
+import re
+import warnings
+
 import duckdb
 import numpy as np
 import pytest
@@ -180,3 +184,63 @@ def test_rates_end_at_the_optimum_where_a_target_is_out_of_reach(spark):
     assert np.allclose(mixer.errors, left, atol=1e-4) and np.abs(left).max() > mixing.MISSED
     # a step of the descent from the optimum changes nothing
     assert np.allclose(rate, np.maximum(0, 1 - p @ left / mixing.PULL), rtol=1e-3, atol=0.05)
+
+
+def test_targets_that_cannot_be_meant_and_zero_targets(spark):
+    rows = [(i, "clear plain words that say what they mean" if i % 2 else "rust rot ruin dirt dust") for i in range(200)]
+    # extra columns whose names are used inside
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __n", "'x' AS __p", "2 AS __words", "3.5D AS rate")
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "junk") for i in range(200)], "id long, domain string")
+    for targets, why in (({}, "at least one"), ({"good": 0.0}, "zero"), ({"good": 1.0, "junk": -0.1}, "negative"), ({"good": float("nan")}, "finite")):
+        with pytest.raises(ValueError, match=why):
+            mixing.fit(docs, labels, targets)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        mixer, rated = mixing.fit(docs.select("doc_id", "text"), labels, {"good": 1.0, "junk": 0.0})
+    found = rated.collect()
+    n, rate = np.array([r["n_tokens"] for r in found], float), np.array([r["rate"] for r in found])
+    p = np.array([[r["p_good"], r["p_junk"]] for r in found])
+    share = (n * rate) @ p / n.sum()
+    assert np.isfinite(mixer.errors).all() and np.isfinite(rate).all() and abs(share[0] - 1) < 0.02 and share[1] < 0.01
+    assert np.allclose(mixer.errors, [share[0] - 1, share[1] / mixing.FLOOR], atol=1e-3)
+    assert bool([w for w in said if "relative errors" in str(w.message)]) == (max(map(abs, mixer.errors)) > mixing.MISSED)
+    out = mixing.mix(docs, labels, {"good": 0.5, "junk": 0.5})[1]
+    assert out.columns == docs.columns and out.count() > 0
+
+
+def test_posteriors_are_those_of_a_plain_naive_bayes(spark):
+    """Counts, weights and posteriors in plain Python over Spark's hashes of the words' beginnings and endings."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120)
+    labels = queries.labelled_domains(spark, SF)
+    domains = sorted(queries.TARGETS)
+    mixer = mixing._classifier(docs, labels, domains, "doc_id", "text")
+    texts = {r["doc_id"]: [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w] for r in docs.collect()}
+    parts = sorted({(k, x) for ws in texts.values() for w in ws for k, x in (("a", w[:5]), ("b", w[-2:]))})
+    hashed = spark.createDataFrame(parts, "k string, x string").selectExpr("k", "x", f"CASE k WHEN 'a' THEN pmod(xxhash64(x), {mixing.BUCKETS}) ELSE pmod(xxhash64('-', x), {mixing.BUCKETS}) END AS h").collect()
+    bucket = {(r["k"], r["x"]): r["h"] for r in hashed}
+    of = lambda ws: [bucket["a", w[:5]] for w in ws] + [bucket["b", w[-2:]] for w in ws]
+    again = lambda ws: sum(a == b for a, b in zip(ws, ws[1:]))
+    counts, repeats, shares, domain = {d: {} for d in domains}, {d: [1, 1] for d in domains}, dict.fromkeys(domains, 0), {}
+    for r in labels.collect():
+        if r["domain"] is not None and r["id"] in texts:
+            domain[r["id"]] = min(domain.get(r["id"], r["domain"]), r["domain"])
+    known = {r["id"]: r["domain"] for r in labels.where("domain is not null").groupBy("id").agg(F.min("domain").alias("domain")).collect()}
+    for d in known.values():
+        shares[d] += 1
+    for i, d in domain.items():
+        for b in of(texts[i]):
+            counts[d][b] = counts[d].get(b, 0) + 1
+        repeats[d][0] += again(texts[i])
+        repeats[d][1] += len(texts[i]) - again(texts[i])
+    totals = {d: sum(counts[d].values()) + mixing.BUCKETS for d in domains}
+    log = lambda d, b: math.log((counts[d].get(b, 0) + 1) / totals[d])
+    for r in mixing.with_rates(docs, mixer).collect():
+        ws = texts[r["doc_id"]]
+        scale = math.sqrt(max(len(ws), 1))
+        z = []
+        for d in domains:
+            likely = sum(log(d, b) - sum(log(o, b) for o in domains) / len(domains) for b in of(ws))
+            yes, no = (math.log(x / sum(repeats[d])) for x in repeats[d])
+            z.append((likely + again(ws) * yes + (len(ws) - again(ws)) * no) / scale + math.log((shares[d] + 1) / (sum(shares.values()) + len(domains))))
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose([r[f"p_{d}"] for d in mixer.domains], e / e.sum(), rtol=1e-4, atol=1e-7)
