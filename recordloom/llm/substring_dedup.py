@@ -11,7 +11,9 @@ hashed and compared; what is shuffled is arranged so that it stays small and eve
   the others are known to be copies; a passage that a third of all documents hold is sent once for
   each task;
 * runs are dealt to blocks by a hash of the minimiser. The number of blocks follows the bytes of
-  text, so that a block's windows fit a task at any size of the input.
+  text, so that a block's windows fit a task at any size of the input. A block that holds far more
+  windows than that, as one gram stands in many documents in different contexts, is **split**: its runs are sent window by
+  window, dealt by the windows' own hashes. Blocks are counted first, by a pass that sends a number for each.
 
 Blocks answer with copied stretches of word positions, a row each; those of a document are merged into maximal
 removal intervals, which meet its text in one join.
@@ -38,6 +40,10 @@ BLOCK_BYTES, GATHER = 8 << 20, 1 << 20
 RUN = 200
 #: Bytes of a window's hash.
 MARK = 6
+#: Parts of a block are numbered in so many bits.
+SUB_BITS = 16
+#: A block is split if it holds so many times the windows of a middling one, and at least so many.
+UNEVEN, LEAST = 2, 1 << 16
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -55,7 +61,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 PACKED = pa.schema(
-    [("block", pa.int32())] + [(c, pa.binary()) for c in ("gram", "doc", "at", "length", "marks", "copied_doc", "copied_at", "copied_length")]
+    [("block", pa.int32()), ("sub", pa.int32())] + [(c, pa.binary()) for c in ("gram", "doc", "at", "length", "marks", "copied_doc", "copied_at", "copied_length")]
 )
 
 
@@ -93,7 +99,11 @@ def _spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int) -> pa.RecordBatch:
+def _block_of(gram: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(gram ^ BASE) % np.uint64(blocks)).astype(np.int32)
+
+
+def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int, splits: dict[int, int]) -> pa.RecordBatch:
     gram, doc, at, length, first, marks = _runs(words, ids, window)
     # equal runs, the smallest document first
     weights = mixed((np.arange(len(marks), dtype=np.uint64) - np.repeat(first, length).astype(np.uint64)) + np.uint64(1)) | np.uint64(1)
@@ -104,57 +114,102 @@ def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int) ->
     head[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
     least = np.repeat(d[head], np.diff(np.append(np.flatnonzero(head), len(order))))
     copied, sent = order[d > least], order[d == least]
-    block = (mixed(gram ^ BASE) % np.uint64(blocks)).astype(np.int32)
+    block = _block_of(gram, blocks)
+    cd, ca, cl, cb = doc[copied], at[copied], length[copied], block[copied].astype(np.int64) << SUB_BITS
+    gram, doc, at, length, first, block = (x[sent] for x in (gram, doc, at, length, first, block))
+    place = block.astype(np.int64) << SUB_BITS
+    if splits and (cut := np.isin(block, list(splits))).any():  # window by window
+        windows, times = _spread(first[cut], length[cut]), length[cut]
+        parts = np.array([splits.get(int(b), 1) for b in block[cut]])
+        sub = (mixed(marks[windows] ^ BASE) % np.repeat(parts, times).astype(np.uint64)).astype(np.int64)
+        single = (np.repeat(gram[cut], times), np.repeat(doc[cut], times), np.repeat(at[cut] - first[cut], times) + windows, np.ones(len(windows), length.dtype), windows, np.repeat(place[cut], times) + sub)
+        gram, doc, at, length, first, place = (np.concatenate([x[~cut], y]) for x, y in zip((gram, doc, at, length, first, place), single))
     rows: dict[str, list] = {name: [] for name in PACKED.names}
-    sent = sent[np.argsort(block[sent], kind="stable")]  # by minimiser within a block
-    copied = copied[np.argsort(block[copied], kind="stable")]
-    values = np.unique(np.concatenate([block[sent], block[copied]]))
+    sent = np.argsort(place, kind="stable")  # by minimiser within a block
+    copied = np.argsort(cb, kind="stable")
+    cd, ca, cl, cb = cd[copied], ca[copied], cl[copied], cb[copied]
+    values = np.unique(np.concatenate([place, cb]))
     for b, s, c in zip(
         values,
-        np.split(sent, np.searchsorted(block[sent], values[1:])),
-        np.split(copied, np.searchsorted(block[copied], values[1:])),
+        np.split(sent, np.searchsorted(place[sent], values[1:])),
+        np.split(np.arange(len(cb)), np.searchsorted(cb, values[1:])),
     ):
         w = marks[_spread(first[s], length[s])]
-        rows["block"].append(b)
+        rows["block"].append(b >> SUB_BITS)
+        rows["sub"].append(b & (1 << SUB_BITS) - 1)
         rows["gram"].append(gram[s].tobytes())
         rows["doc"].append(_narrow(doc[s]))
         rows["at"].append(_narrow(at[s]))
         rows["length"].append(_narrow(length[s]))
         rows["marks"].append(w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MARK].tobytes())
-        rows["copied_doc"].append(_narrow(doc[c]))
-        rows["copied_at"].append(_narrow(at[c]))
-        rows["copied_length"].append(_narrow(length[c]))
+        rows["copied_doc"].append(_narrow(cd[c]))
+        rows["copied_at"].append(_narrow(ca[c]))
+        rows["copied_length"].append(_narrow(cl[c]))
     return pa.RecordBatch.from_pydict(rows, PACKED)
 
 
-def _windows(window: int, blocks: int):
+def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Word hashes and ids of documents that hold a window, GATHER words at a time."""
+    words: list[np.ndarray] = []
+    ids: list[int] = []
+    held = 0
+    for batch in batches:
+        for id, text in zip(batch.column(0), batch.column(1)):
+            found = word_hashes((text.as_py() or "").encode("utf-8").split())
+            if len(found) >= window:
+                words.append(found)
+                ids.append(id.as_py())
+                held += len(found)
+            if held >= GATHER:
+                yield words, ids
+                words, ids, held = [], [], 0
+    if words:
+        yield words, ids
+
+
+def _windows(window: int, blocks: int, splits: dict[int, int]):
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        ids: list[int] = []
-        held = 0
-        for batch in batches:
-            for id, text in zip(batch.column(0), batch.column(1)):
-                found = word_hashes((text.as_py() or "").encode("utf-8").split())
-                if len(found) >= window:
-                    words.append(found)
-                    ids.append(id.as_py())
-                    held += len(found)
-                if held >= GATHER:
-                    yield _pack(words, ids, window, blocks)
-                    words, ids, held = [], [], 0
-        if words:
-            yield _pack(words, ids, window, blocks)
+        for words, ids in _chunks(batches, window):
+            yield _pack(words, ids, window, blocks, splits)
 
     return pack
 
 
+def _sizes(window: int, blocks: int):
+    """The windows of each block in a task."""
+
+    @tidied
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for words, ids in _chunks(batches, window):
+            gram, _, _, lengths, _, _ = _runs(words, ids, window)
+            found, at = np.unique(_block_of(gram, blocks), return_inverse=True)
+            for b, x in zip(found.tolist(), np.bincount(at, lengths).astype(int).tolist()):
+                total[b] = total.get(b, 0) + x
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return count
+
+
+def _splits(rows: DataFrame, window: int, blocks: int) -> dict[int, int]:
+    """The blocks to split, and in how many parts; a number for each of them reaches the driver."""
+    sizes = rows.mapInArrow(_sizes(window, blocks), "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    sizes = sizes.persist()
+    try:
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        fair = max(LEAST, total // blocks)
+        return {r["block"]: min(-(-r["n"] // fair), 1 << SUB_BITS) for r in sizes.where(F.col("n") > UNEVEN * fair).collect()}
+    finally:
+        sizes.unpersist()
+
+
 COPIED = "doc long, start int, length int"
 
 
 def _copies(table: pa.Table) -> pa.Table:
     """The copied stretches of a block's windows."""
-    column = {name: table.column(name).to_pylist() for name in PACKED.names[1:]}
+    column = {name: table.column(name).to_pylist() for name in PACKED.names[2:]}
     gram = np.concatenate([np.frombuffer(x, np.uint64) for x in column["gram"]])
     doc, at, length, cd, ca, cl = (
         np.concatenate([_wide(x) for x in column[name]]) for name in ("doc", "at", "length", "copied_doc", "copied_at", "copied_length")
@@ -242,9 +297,11 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    packed = rows.where("doc is not null").mapInArrow(_windows(window, blocks), "block int, " + ", ".join(f"{n} binary" for n in PACKED.names[1:]))
+    rows = rows.where("doc is not null")
+    schema = "block int, sub int, " + ", ".join(f"{n} binary" for n in PACKED.names[2:])
+    packed = rows.mapInArrow(_windows(window, blocks, _splits(rows, window, blocks)), schema)
     copied = (
-        packed.groupBy("block")
+        packed.groupBy("block", "sub")
         .applyInArrow(_copies, COPIED)
         .groupBy("doc")
         .agg(F.collect_list("start").alias("__starts"), F.collect_list("length").alias("__lengths"))

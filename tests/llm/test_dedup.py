@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from recordloom.llm import near_dup, substring_dedup
 from recordloom.llm.components import components
 
@@ -174,3 +176,41 @@ def test_rows_without_ids_and_other_columns(spark):
     found = substring_dedup.substring_dedup(rows)
     assert sorted((r["doc_id"] or 0, r["n_removed"], r["kept"], [tuple(x) for x in r["removed"]]) for r in found.collect()) == [(0, 0, text, []), (1, 0, text, []), (2, 20, "0", [(1, 21)]), (2, 20, "0", [(1, 21)])]
     assert "doc" in found.columns and substring_dedup.substring_dedup(rows.limit(0)).count() == 0
+
+
+def test_split_blocks_lose_nothing(spark, monkeypatch):
+    """A gram in every document, in contexts of its own and in common ones: its block is split, and the result is that of brute force."""
+    rng = random.Random(6)
+    hot = [f"h{i}" for i in range(7)]
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(6):
+            words += [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(3, 9))] + hot
+            if rng.random() < 0.2:
+                at = rng.randrange(15)
+                words += common[at : at + 15]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = {}
+    first: dict = {}
+    for i, text in rows:
+        words = text.split(" ")
+        gone = set()
+        for k in range(len(words) - 12):
+            w = tuple(words[k : k + 13])
+            if first.setdefault(w, i) < i:
+                gone |= set(range(k, k + 13))
+        expected[i] = (len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone))
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "LEAST", 50)
+    plain = docs.selectExpr("doc_id AS doc", "text")
+    blocks = -(-sum(len(t) for _, t in rows) // 4000)
+    splits = substring_dedup._splits(plain, 13, blocks)
+    assert splits and max(splits.values()) > 2
+    packed = plain.mapInArrow(substring_dedup._windows(13, blocks, splits), "block int, sub int, " + ", ".join(f"{n} binary" for n in substring_dedup.PACKED.names[2:]))
+    sizes = sorted(r["n"] for r in packed.groupBy("block", "sub").agg(F.sum(F.octet_length("marks")).alias("n")).collect())
+    assert sizes[-1] <= 6 * sizes[len(sizes) // 2]
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert found == expected and sum(n for _, n, _ in expected.values()) > 500
