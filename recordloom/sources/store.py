@@ -104,14 +104,12 @@ class RecordStore:
     def _read(self, name: str, schema: str, parts: Iterable[str] | None = None) -> DataFrame:
         """A table of the store, empty if nothing is written yet; or these parts of it, all of which must be there."""
         root = f"{self.path}/{name}"
-        paths = [root] if parts is None else [f"{root}/{p}" for p in parts]
-        try:
-            if paths:
-                return self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
-        except AnalysisException as e:
-            if parts is not None or e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        return self.spark.createDataFrame([], schema)
+        paths = [f"{root}/{p}" for p in parts] if parts is not None else [root] if self._exists(root) else []
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def _commits(self) -> _Log:
         bases = self._read("bases", "x int, version long").agg(F.max("version")).first()[0]
