@@ -123,7 +123,7 @@ def test_hot_uris_are_folded_in_slices(spark, monkeypatch, struct):
             df = df.withColumn("seq", F.struct(F.lit(1).cast("long").alias("batch"), "seq"))
         assert seen(fold.fold(df)) == state
         assert fold._hot(df) and "at://hot" in fold._hot(df)
-        if not struct:
+        if not struct and late == 400:
             assert sorted(tuple(r) for r in fold.feed(df).select("seq", "change", "uri").collect()) == feed
             first = fold.fold(df.where("seq < 1000000"))
             rest = df.where("seq >= 1000000")
