@@ -57,11 +57,11 @@ class _Columns(dict):
 _shapes, _columns = _Shapes(), _Columns()
 
 
-def features(text: str) -> dict[int, float]:
-    """Columns and their values."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and their values; features that share a column stay apart, as they add up in a model anyway."""
     words = text.split()
     if not words:
-        return {_columns["no words"]: 1.0}
+        return np.array([_columns["no words"]], np.int32), np.ones(1)
     for memo in (_shapes, _columns):
         if len(memo) > MEMO:
             memo.clear()
@@ -77,11 +77,8 @@ def features(text: str) -> dict[int, float]:
             if n > 1:
                 counts["line again"] += (n - 1) * len(line.split())
     counts["size", len(words).bit_length()] = len(words)
-    found: dict[int, float] = {}
-    for feature, n in counts.items():
-        column = _columns[feature]
-        found[column] = found.get(column, 0.0) + (n / len(words)) ** 0.5
-    return found
+    columns = np.fromiter(map(_columns.__getitem__, counts), np.int32, len(counts))
+    return columns, np.sqrt(np.fromiter(counts.values(), float, len(counts)) / len(words))
 
 
 def _features(text: str) -> Column:
@@ -91,8 +88,7 @@ def _features(text: str) -> Column:
     @tidied
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = (features(t.as_py() or "") for t in batch)
-            yield pa.array([{"columns": list(f), "values": list(f.values())} for f in found], kind)
+            yield pa.array([dict(zip(kind.names, features(t.as_py() or ""))) for t in batch], kind)
 
     return made(text)
 
@@ -113,14 +109,17 @@ def train(
 
 def score(text: Column, model: tuple[np.ndarray, float]) -> Column:
     """The chance that a text is good, 0 to 1. Null counts as empty; an empty text has its own score."""
-    weights, bias = model[0].tolist(), model[1]
+    weights, bias = model
 
     @F.arrow_udf("double")
     @tidied
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            z = [bias + sum(weights[c] * v for c, v in features(t.as_py() or "").items()) for t in batch]
-            yield pa.array(pu_learning.logistic(np.array(z, float)))
+            z = np.empty(len(batch))
+            for i, t in enumerate(batch):
+                columns, values = features(t.as_py() or "")
+                z[i] = bias + weights[columns] @ values
+            yield pa.array(pu_learning.logistic(z))
 
     return scored(F.coalesce(text, F.lit("")))
 
