@@ -15,7 +15,7 @@
    driver keeps a few numbers for each turn. A document's rate is those turns replayed on its
    posterior, so applying the fit to texts needs no join, and nothing but the numbers has to survive
    a lost executor.
-3. If the turns end before the targets are met, the fit is taken to its optimum. There a rate is
+3. If the turns end before the targets are met, or take little off the errors, the fit is taken to its optimum. There a rate is
    max(0, 1 - sum_k p_ik e_k / pull) for relative errors e, which are the minimum of
 
        sum_k t_k e_k + s_k e_k^2 / 2  +  pull/2 sum_i n_i max(0, 1 - sum_k p_ik e_k / pull)^2
@@ -42,6 +42,8 @@ from recordloom.llm.common import durable
 BUCKETS, TRAIN = 8192, 20000
 #: Turns at most, relative error to stop at, and the pull to rate 1.
 TURNS, ENOUGH, PULL = 24, 1e-4, 1e-3
+#: A turn that leaves more than this share of the largest error is the last one before the Newton steps.
+SLOW = 0.7
 #: Relative residual at which the optimum counts as found, and relative error of a domain that is warned of.
 SETTLED, MISSED = 1e-6, 0.02
 #: Share of the tokens that the error of a domain is relative to if its target is zero.
@@ -66,11 +68,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def _bucket_pair(word: Column) -> tuple[Column, Column]:
+    """The bucket numbers of a word's beginning and ending."""
+    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+    return bucket(F.substring(word, 1, 5)), bucket(F.lit("-"), F.substring(word, -2, 2))
+
+
 def _buckets(words: Column) -> Column:
     """Each word's beginning and ending as bucket numbers."""
-    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
-    begins = F.transform(words, lambda w: bucket(F.substring(w, 1, 5)))
-    return F.concat(begins, F.transform(words, lambda w: bucket(F.lit("-"), F.substring(w, -2, 2))))
+    return F.concat(F.transform(words, lambda w: _bucket_pair(w)[0]), F.transform(words, lambda w: _bucket_pair(w)[1]))
 
 
 def _repeats(words: Column) -> Column:
@@ -127,9 +133,9 @@ def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: st
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     shares = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     words = rows.select("domain", _words(F.col("text")).alias("w"))
-    counted = (
-        words.select("domain", F.explode(_buckets(F.col("w"))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
-    )  # at most BUCKETS rows for each domain
+    # a word a row first: hashing rows is compiled, hashing within an array is not
+    buckets = words.select("domain", F.explode("w").alias("w")).select("domain", F.explode(F.array(*_bucket_pair(F.col("w")))).alias("b"))
+    counted = buckets.groupBy("domain", "b").agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows for each domain
     counts, again = np.ones((len(domains), BUCKETS)), np.ones((len(domains), 2))
     for r in counted:
         counts[domains.index(r["domain"]), r["b"]] += r["n"]
@@ -213,14 +219,16 @@ def fit(
         scale = np.where(wanted > 0, wanted, FLOOR * total)
         curve = np.array([[moments[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) / np.sqrt(np.outer(scale, scale))
         mixer.step = 1 / (float(np.linalg.eigvalsh(curve).max()) + pull)
+        largest = math.inf
         for _ in range(turns):
             weighed = weighty.select((F.col("__n") * _rate(F.col("__p"), mixer, pull)).alias("w"), "__p")
             sums = weighed.agg(*[F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(k)]).first()
             errors = [(sums[f"s{j}"] - wanted[j]) / scale[j] for j in range(k)]
-            if max(map(abs, errors)) < enough:
+            before, largest = largest, max(map(abs, errors))
+            if largest < enough or (pull > 0 and largest > SLOW * before):
                 break
             mixer.turns.append(errors)
-        else:
+        if largest >= enough:
             if pull <= 0:
                 raise ArithmeticError(f"the targets are not met after {turns} turns, and without a pull there is no one optimum")
             errors = _optimum(weighty, wanted, scale, pull, errors if turns else [0.0] * k)
