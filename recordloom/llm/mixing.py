@@ -133,14 +133,17 @@ def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id: st
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     shares = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     words = rows.select("domain", _words(F.col("text")).alias("w"))
-    # a word a row first: hashing rows is compiled, hashing within an array is not
-    buckets = words.select("domain", F.explode("w").alias("w")).select("domain", F.explode(F.array(*_bucket_pair(F.col("w")))).alias("b"))
-    counted = buckets.groupBy("domain", "b").agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows for each domain
+    # a word a row first: hashing rows is compiled, hashing within an array is not; a text's first word brings its repeats along
+    each = words.withColumn("r", _repeats(F.col("w"))).select("domain", "r", F.posexplode("w").alias("at", "w"))
+    pairs = each.select("domain", F.when(F.col("at") == 0, F.col("r")).otherwise(0).alias("r"), F.array(*_bucket_pair(F.col("w"))).alias("pair"))
+    buckets = pairs.select("domain", "r", F.posexplode("pair").alias("side", "b"))
+    repeated = F.sum(F.when(F.col("side") == 0, F.col("r")).otherwise(0)).alias("r")
+    counted = buckets.groupBy("domain", "b").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("words"), repeated).collect()
+    # at most BUCKETS rows for each domain
     counts, again = np.ones((len(domains), BUCKETS)), np.ones((len(domains), 2))
     for r in counted:
         counts[domains.index(r["domain"]), r["b"]] += r["n"]
-    for r in words.groupBy("domain").agg(F.sum(_repeats(F.col("w"))).alias("r"), F.sum(F.size("w")).alias("n")).collect():
-        again[domains.index(r["domain"])] += r["r"], r["n"] - r["r"]
+        again[domains.index(r["domain"])] += r["r"], r["words"] - r["r"]
     logs = [np.log(x / x.sum(1, keepdims=True)) for x in (counts, again)]
     n = sum(shares.values())
     prior = [math.log((shares.get(d, 0) + 1) / (n + len(domains))) for d in domains]
