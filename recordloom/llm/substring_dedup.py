@@ -36,6 +36,8 @@ from recordloom.llm.shingles import BASE, mixed, rolling, word_hashes
 GRAM = 5
 #: Bytes of text for each block, and windows that a task gathers before it sends them.
 BLOCK_BYTES, GATHER = 8 << 20, 1 << 20
+#: Words that are hashed at once; the numbers beside a window's hash are some hundred bytes a word while they are made.
+PART = 1 << 16
 #: Windows of a run at most.
 RUN = 200
 #: Bytes of a window's hash.
@@ -65,8 +67,34 @@ PACKED = pa.schema(
 )
 
 
+def _parts(words: list[np.ndarray], ids: list[int]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Whole documents, PART words at a time."""
+    start = held = 0
+    for i, w in enumerate(words, 1):
+        held += len(w)
+        if held >= PART or i == len(words):
+            yield words[start:i], ids[start:i]
+            start, held = i, 0
+
+
 def _runs(words: list[np.ndarray], ids: list[int], window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of some documents: minimiser, document, position, length, first window; and all windows' marks."""
+    """Runs of windows of some documents: minimiser, document, position, length, first window, hash; and all windows' marks."""
+    found, windows = [], 0
+    for some, of in _parts(words, ids):
+        gram, doc, at, length, first, marks = _runs_at_once(some, of, window)
+        found.append((gram, doc, at, length, first + windows, _run_hashes(gram, first, length, marks), marks))
+        windows += len(marks)
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _run_hashes(gram: np.ndarray, first: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    if not len(first):
+        return gram
+    weights = mixed((np.arange(len(marks), dtype=np.uint64) - np.repeat(first, length).astype(np.uint64)) + np.uint64(1)) | np.uint64(1)
+    return np.add.reduceat(mixed(marks * weights), first) + length.astype(np.uint64) * BASE
+
+
+def _runs_at_once(words: list[np.ndarray], ids: list[int], window: int) -> tuple[np.ndarray, ...]:
     counts = np.array([len(w) for w in words])
     flat = np.concatenate(words)
     gram = min(GRAM, window)
@@ -104,10 +132,8 @@ def _block_of(gram: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int, splits: dict[int, int]) -> pa.RecordBatch:
-    gram, doc, at, length, first, marks = _runs(words, ids, window)
+    gram, doc, at, length, first, total, marks = _runs(words, ids, window)
     # equal runs, the smallest document first
-    weights = mixed((np.arange(len(marks), dtype=np.uint64) - np.repeat(first, length).astype(np.uint64)) + np.uint64(1)) | np.uint64(1)
-    total = np.add.reduceat(mixed(marks * weights), first) + length.astype(np.uint64) * BASE if len(first) else gram
     order = np.lexsort((at, doc, total, gram))
     g, t, d = gram[order], total[order], doc[order]
     head = np.ones(len(order), bool)
@@ -148,8 +174,8 @@ def _pack(words: list[np.ndarray], ids: list[int], window: int, blocks: int, spl
     return pa.RecordBatch.from_pydict(rows, PACKED)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
-    """Word hashes and ids of documents that hold a window, GATHER words at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], window: int, gather: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Word hashes and ids of documents that hold a window, ``gather`` words at a time."""
     words: list[np.ndarray] = []
     ids: list[int] = []
     held = 0
@@ -160,7 +186,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[li
                 words.append(found)
                 ids.append(id.as_py())
                 held += len(found)
-            if held >= GATHER:
+            if held >= gather:
                 yield words, ids
                 words, ids, held = [], [], 0
     if words:
@@ -170,7 +196,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[li
 def _windows(window: int, blocks: int, splits: dict[int, int]):
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, ids in _chunks(batches, window):
+        for words, ids in _chunks(batches, window, GATHER):
             yield _pack(words, ids, window, blocks, splits)
 
     return pack
@@ -182,8 +208,8 @@ def _sizes(window: int, blocks: int):
     @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        for words, ids in _chunks(batches, window):
-            gram, _, _, lengths, _, _ = _runs(words, ids, window)
+        for words, ids in _chunks(batches, window, PART):
+            gram, _, _, lengths, _, _ = _runs_at_once(words, ids, window)
             found, at = np.unique(_block_of(gram, blocks), return_inverse=True)
             for b, x in zip(found.tolist(), np.bincount(at, lengths).astype(int).tolist()):
                 total[b] = total.get(b, 0) + x

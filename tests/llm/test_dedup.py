@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recordloom.llm import near_dup, substring_dedup
@@ -214,3 +216,22 @@ def test_split_blocks_lose_nothing(spark, monkeypatch):
     assert sizes[-1] <= 6 * sizes[len(sizes) // 2]
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect()}
     assert found == expected and sum(n for _, n, _ in expected.values()) > 500
+
+
+def test_windows_are_hashed_in_parts(monkeypatch):
+    """A task's memory beside what it sends does not follow the words that it gathers, and the parts do not show in what is sent."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(300)), "text": texts})
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        counts = list(substring_dedup._sizes(13, 5)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert sum(counts[0].column("n").to_pylist()) == 300 * 1988
+    assert most < 24 << 20, most
+    sent = list(substring_dedup._windows(13, 5, {2: 3})(iter([batch])))
+    monkeypatch.setattr(substring_dedup, "PART", 1 << 30)
+    assert sent == list(substring_dedup._windows(13, 5, {2: 3})(iter([batch])))
