@@ -677,6 +677,10 @@ def record_documents(spark, sf_dir):
 # -- paged lists
 
 
+#: Events whose pages are recorded in one folder, and tasks that read them at most.
+BUCKET_EVENTS, MOST_TASKS = 20_000, 1000
+
+
 @query(
     "paged_lists_read",
     """SELECT CAST(user_id AS VARCHAR) AS list, CAST((n - 1) // 20 AS INTEGER) AS page, CAST((n - 1) % 20 AS INTEGER) AS nth, event_id
@@ -691,9 +695,13 @@ def paged_lists_read(spark, sf_dir):
     page = F.to_json(F.struct(F.transform("ids", lambda i: F.struct(i.alias("id"))).alias("items"), F.when(more, (F.col("page") + 1).cast("string")).alias("cursor")))
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
     recorded = grouped.select("list", F.when(F.col("page") > 0, F.col("page").cast("string")).alias("cursor"), page.alias("page"))
-    recorded.repartition("list").write.partitionBy("list").json(folder)
-    lists = rows.select("list").distinct().select(F.to_json(F.struct("list")).alias("query"))
-    read = paged.paged_lists_of(lists, paged.RecordedPages(folder, "list"), "items")
+    buckets = -(-rows.count() // BUCKET_EVENTS) or 1
+    bucket = paged.bucket_of_list("list", buckets).alias("bucket")
+    recorded.select("*", bucket).repartition("bucket").write.partitionBy("bucket").json(folder)
+    # the number of tasks is given, since lists are short and their pages are not
+    lists = rows.select("list").distinct().select(F.to_json(F.struct("list")).alias("query"), bucket)
+    lists = lists.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+    read = paged.paged_lists_of(lists, paged.RecordedPages(folder, "list", buckets), "items")
     return read.select(F.get_json_object("list", "$.list").alias("list"), "page", "nth", F.get_json_object("item", "$.id").cast("long").alias("event_id"))
 
 

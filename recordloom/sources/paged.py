@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -105,18 +106,34 @@ def paged_lists(
 class RecordedPages:
     """A fetch function over recorded pages: JSON lines (list, cursor, page) in files under ``folder``/list=NAME, on any file system that Arrow opens.
 
-    ``by`` is the field of the query that names the list; a list or a cursor that is not recorded is an error.
+    ``by`` is the field of the query that names the list; a list or a cursor that is not recorded is an error. With ``buckets``
+    a list stands among others in ``folder``/bucket=N, where N is ``bucket_of_list``, and its lines have its name. The
+    folder of the last list is held, so lists should be asked for bucket by bucket.
     """
 
-    def __init__(self, folder: str, by: str):
-        self.folder, self.by = folder, by
+    def __init__(self, folder: str, by: str, buckets: int | None = None):
+        self.folder, self.by, self.buckets = folder, by, buckets
+        self._held: tuple[str, dict] = "", {}
 
     def __call__(self, query: dict) -> dict:
-        for line in _lines(f"{self.folder}/list={query[self.by]}"):
-            row = json.loads(line)
-            if row.get("cursor") == query.get("cursor"):
-                return json.loads(row["page"])
-        raise LookupError(f"no page of {query[self.by]!r} at {query.get('cursor')!r}")
+        name, cursor = query[self.by], query.get("cursor")
+        part = f"list={name}" if self.buckets is None else f"bucket={zlib.crc32(name.encode()) % self.buckets}"
+        if self._held[0] != part:
+            self._held = "", {}  # not two at once
+            pages: dict = {}
+            for line in _lines(f"{self.folder}/{part}"):
+                row = json.loads(line)
+                pages.setdefault((name if self.buckets is None else row["list"], row.get("cursor")), row["page"])
+            self._held = part, pages
+        page = self._held[1].get((name, cursor))
+        if page is None:
+            raise LookupError(f"no page of {name!r} at {cursor!r}")
+        return json.loads(page)
+
+
+def bucket_of_list(name: Column | str, buckets: int) -> Column:
+    """The bucket that ``RecordedPages`` looks for a list in."""
+    return (F.crc32(name) % buckets).cast("int")
 
 
 def _lines(folder: str) -> Iterator[str]:

@@ -1,6 +1,7 @@
 import json
 import random
 import sys
+import zlib
 
 import pytest
 from pyspark import cloudpickle
@@ -179,3 +180,25 @@ def test_queries_of_sources_agree_with_their_sql(spark, name):
 def test_scratch_folders(spark):
     assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
     assert spark.range(3).select(F.col("id")).count() == 3
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_recorded_pages_are_read_once(tmp_path, monkeypatch, buckets):
+    """However many pages a list has, its folder is read once, and lists of a bucket share one reading."""
+    names = ["a", "b", "c", "d", "e"]
+    place = lambda name: f"list={name}" if buckets is None else f"bucket={zlib.crc32(name.encode()) % buckets}"
+    for name in names:
+        (folder := tmp_path / place(name)).mkdir(exist_ok=True)
+        for n in range(30):
+            line = {"list": name, "page": json.dumps({"items": [f"{name}{n}"]} | ({"cursor": str(n + 1)} if n < 29 else {}))} | ({"cursor": str(n)} if n else {})
+            with (folder / "part.json").open("a") as f:
+                f.write(json.dumps(line) + "\n")
+    seen, lines = [], paged._lines
+    monkeypatch.setattr(paged, "_lines", lambda folder: seen.append(folder) or lines(folder))
+    fetch = paged.RecordedPages(str(tmp_path), "list", *([] if buckets is None else [buckets]))
+    for name in sorted(names, key=place):
+        found = [r[3] for r in paged._Reader(fetch, [], "items", 20, 100, 1)._list({"list": name})]
+        assert found == [json.dumps(f"{name}{n}") for n in range(30)]
+    assert len(seen) == len({place(name) for name in names})
+    with pytest.raises(LookupError):
+        fetch({"list": names[0], "cursor": "99"})
