@@ -53,22 +53,23 @@ def with_state(mutations: DataFrame, state: DataFrame | None) -> DataFrame:
     log = mutations.withColumn(_SEED, F.lit(False))
     if state is None:
         return log
-    seed = state.withColumn(_SEED, F.lit(True))
     columns = ["cid", "did", "collection", "rkey", "record_json", "indexed_at"]
     kind = mutations.schema["seq"].dataType
     before = lambda n: F.lit(n).cast("long") if kind == LongType() else F.struct(F.lit(n), F.lit(0)).cast(kind)
-    first = seed.select(before(-2).alias("seq"), F.lit("U").alias("op"), "uri", *columns, _SEED)
-    gone = seed.where("is_deleted").select(before(-1).alias("seq"), F.lit("D").alias("op"), "uri", *columns, _SEED)
-    return log.unionByName(first).unionByName(gone)
+    first, gone = F.struct(before(-2).alias("seq"), F.lit("U").alias("op")), F.struct(before(-1).alias("seq"), F.lit("D").alias("op"))
+    # one reading of the state, which may be a fold itself
+    seed = state.select(F.explode(F.when(F.col("is_deleted"), F.array(first, gone)).otherwise(F.array(first))).alias("__e"), "uri", *columns)
+    return log.unionByName(seed.select("__e.seq", "__e.op", "uri", *columns, F.lit(True).alias(_SEED)))
 
 
 def accepted(log: DataFrame) -> DataFrame:
     """The mutations that have an effect on the time or the content of their record, with ``before`` (the op before).
 
-    This counts the rows of each URI first, to find the hot ones; without any the rest is one plan.
+    This counts the rows of each URI first, to find the hot ones; without any the rest is one plan. The state has two rows
+    of a URI at most and is not counted, as it may be a fold that would be computed for it.
     """
     rows = log.where("uri is not null")
-    hot = _hot(rows)
+    hot = _hot(rows.where(~F.col(_SEED)))
     if not hot:
         return _accepted(rows)
     is_hot = F.col("uri").isin(hot)
@@ -76,10 +77,10 @@ def accepted(log: DataFrame) -> DataFrame:
 
 
 def _accepted(rows: DataFrame) -> DataFrame:
-    by_uri = Window.partitionBy("uri")
-    arrival = by_uri.orderBy("seq")
+    arrival = Window.partitionBy("uri").orderBy("seq")
     earlier = arrival.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__first", F.min(F.when(F.col("op") == "U", F.col("seq"))).over(by_uri))
+    # over the same order as the others, so that rows are sorted once
+    rows = rows.withColumn("__first", F.min(F.when(F.col("op") == "U", F.col("seq"))).over(arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = rows.where("seq >= __first").withColumn("__latest", F.max("indexed_at").over(earlier))
     rows = rows.where("__latest is null or indexed_at >= __latest")
     return rows.withColumn("before", F.lag("op").over(arrival)).drop("__first", "__latest")

@@ -149,3 +149,12 @@ def test_no_task_gets_a_hot_uri(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_state_is_read_once_and_not_counted(spark):
+    """The state before a batch may be a fold itself: hot records are looked for in the batch alone, and a plan holds the state once."""
+    log = spark.createDataFrame([(1, "U", "at://a", "c", "d", "x", "r", "{}", 5)], MUTATIONS)
+    text = [F.raise_error(F.lit("computed")).cast("string").alias(c) for c in ("uri", "cid", "did", "collection", "rkey", "record_json")]
+    state = spark.range(1).select(*text, F.lit(1).cast("long").alias("indexed_at"), F.lit(True).alias("is_deleted"))
+    for rows in (fold.feed(log, state), fold.fold(log, state)):
+        assert rows._jdf.queryExecution().analyzed().toString().count("Range (") == 1
