@@ -101,6 +101,27 @@ def test_copies_near_copies_and_cuttings_of_one_document(spark):
     check(spark, list(enumerate(docs)), 85)
 
 
+def test_edited_copies_of_one_document_are_not_all_paired(spark, monkeypatch):
+    """Copies that differ in many words each: few of the pairs that one family has can be similar, and only those meet full sets."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    base, docs = [word() for _ in range(400)], []
+    for _ in range(160):
+        copy = list(base)
+        for _ in range(rng.choice((3, 6, 7, 8, 9, 10, 11))):
+            copy[rng.randrange(400)] = word()
+        docs.append(" ".join(copy))
+    confirmed, sent = near_dup._confirmed, []
+
+    def counted(pairs, sets, percent):
+        sent.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dup, "_confirmed", counted)
+    check(spark, list(enumerate(docs)), 85)
+    assert sum(sent) < 10 * len(docs)  # of 12,720 pairs
+
+
 def test_rows_that_repeat_an_id_are_one_document(spark):
     rows = [(3, "a b c"), (5, "a b c"), (5, "x y z"), (4, "x y z"), (9, "q r s"), (9, "q r s"), (8, None), (8, "l m n"), (2, "l m n")]
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
