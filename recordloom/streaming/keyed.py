@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,7 +21,8 @@ from recordloom.schema import FEED, RECORDS
 #: What a URI holds beside its name.
 STATE = "cid string, did string, collection string, rkey string, record_json string, indexed_at long, is_deleted boolean"
 _CONTENT = ["cid", "did", "collection", "rkey", "record_json"]
-_FEED = [f.split()[0] for f in FEED.split(", ")]
+#: A change of the feed. Rows go to Python and back as they are: a frame for each URI would cost far more than its mutations.
+_CHANGE = Row(*[f.split()[0] for f in FEED.split(", ")])
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,38 +42,31 @@ class Fold(StatefulProcessor):
         self.state = handle.getValueState("record", STATE)
 
     def _read(self) -> tuple | None:
-        if not self.state.exists():
+        held = self.state.get()  # one call to the state store: None where there is nothing
+        if held is None:
             return None
-        *content, time, deleted = self.state.get()
-        return tuple(content), int(time), bool(deleted)
+        *content, time, deleted = held
+        return tuple(content), time, deleted
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = state = self._read()
-        mutations = [m for part in rows for m in part.itertuples(index=False)]
-        changes = []
-        for m in sorted(mutations, key=lambda m: m.seq):
-            content = tuple(_text(getattr(m, c)) for c in _CONTENT)
-            state, change = step(state, m.op, content, int(m.indexed_at))
+        for m in sorted(rows, key=lambda m: m["seq"]):
+            content = tuple(m[c] for c in _CONTENT)
+            state, change = step(state, m["op"], content, m["indexed_at"])
             if change:
                 cid, did, collection, rkey, payload = content
                 upsert = change == "Upsert"
-                changes.append((m.seq, change, key[0], did, collection, rkey, cid if upsert else None, payload if upsert else None, m.indexed_at if upsert else None))
+                yield _CHANGE(m["seq"], change, key[0], did, collection, rkey, cid if upsert else None, payload if upsert else None, m["indexed_at"] if upsert else None)
         if state is not None and state != before:
             self.state.update((*state[0], state[1], state[2]))
-        yield pd.DataFrame(changes, columns=_FEED).astype({"seq": "Int64", "indexed_at": "Int64"})
 
-    def handleInitialState(self, key: Any, rows: pd.DataFrame, timerValues: Any) -> None:
-        for r in rows.itertuples(index=False):
-            self.state.update((*(_text(getattr(r, c)) for c in _CONTENT), int(r.indexed_at), bool(r.is_deleted)))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self.state.update((*(initialState[c] for c in _CONTENT), initialState["indexed_at"], initialState["is_deleted"]))
 
     def close(self) -> None:
         pass
 
 
-def _text(value: Any) -> str | None:
-    return value if isinstance(value, str) else None
-
-
 def changes(mutations: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """The change feed (schema FEED) of a stream of ``mutations``, whose seq grows along the stream.
 
@@ -82,7 +75,7 @@ def changes(mutations: DataFrame, records: DataFrame | None = None) -> DataFrame
     """
     rows = fold.in_range(mutations).where("uri is not null")
     first = None if records is None else records.groupBy("uri")
-    return rows.groupBy("uri").transformWithStateInPandas(Fold(), outputStructType=FEED, outputMode="Append", timeMode="None", initialState=first)
+    return rows.groupBy("uri").transformWithState(Fold(), outputStructType=FEED, outputMode="Append", timeMode="None", initialState=first)
 
 
 def state_of(spark, checkpoint: str) -> DataFrame:
