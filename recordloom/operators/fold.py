@@ -4,7 +4,8 @@ For each URI, in order of ``seq``: an upsert is accepted if its time is not befo
 one, a delete likewise but only after a first upsert; a delete of a deleted record just moves its
 time. Whether a mutation is accepted depends only on the running maximum of the times before it, so
 the fold is one shuffle on the URI and window functions. The result does not depend on how a log is
-cut into batches.
+cut into batches. Mutations of a URI that share a ``seq`` come by their times, then by op and cid (ARRIVAL), so that
+the result depends on the log alone and not on the order in which a shuffle brings it.
 
 A URI that holds more than a share of the log is *hot*: its rows are cut into slices along ``seq``, so that no task
 gets them all. A slice needs to know of the ones before it whether an upsert came, the latest
@@ -26,6 +27,8 @@ from recordloom.schema import FEED, RECORD_COLUMNS
 #: Times are kept in 63 bits; others are skipped, or refused by ``validated``.
 LATEST = (1 << 63) - 1
 _SEED = "__seed"
+#: The order of a URI's mutations.
+ARRIVAL = ["seq", "indexed_at", "op", "cid"]
 #: A URI is hot beyond so many rows, if they are more than one of so many parts of the log.
 HOT, SHARE = 10_000, 1000
 #: Slices of a hot URI, of all of them together, and rows that they are laid out by.
@@ -77,7 +80,7 @@ def accepted(log: DataFrame) -> DataFrame:
 
 
 def _accepted(rows: DataFrame) -> DataFrame:
-    arrival = Window.partitionBy("uri").orderBy("seq")
+    arrival = Window.partitionBy("uri").orderBy(*ARRIVAL)
     earlier = arrival.rowsBetween(Window.unboundedPreceding, -1)
     # over the same order as the others, so that rows are sorted once
     rows = rows.withColumn("__first", F.min(F.when(F.col("op") == "U", F.col("seq"))).over(arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -108,7 +111,7 @@ def _accepted_in_slices(rows: DataFrame, uris: int) -> DataFrame:
     before = F.size(F.filter(known, lambda e: e <= F.col("seq")))
     sliced = rows.withColumn("__slice", before)
     part = ["uri", "__slice"]
-    arrival = Window.partitionBy(*part).orderBy("seq")
+    arrival = Window.partitionBy(*part).orderBy(*ARRIVAL)
     up = F.col("op") == "U"
     rows = sliced.withColumn("__first", F.min(F.when(up, F.col("seq"))).over(Window.partitionBy(*part)))
     # what a slice has by itself: a first upsert, and the latest time of all of it and from that upsert on
@@ -123,7 +126,7 @@ def _accepted_in_slices(rows: DataFrame, uris: int) -> DataFrame:
     rows = rows.where("begun or seq >= __first")
     latest = F.greatest("so_far", F.max("indexed_at").over(arrival.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("__latest", latest).where("__latest is null or indexed_at >= __latest")
-    last = rows.groupBy(*part).agg(F.max_by("op", "seq").alias("op"))
+    last = rows.groupBy(*part).agg(F.max_by("op", F.struct(*ARRIVAL)).alias("op"))
     last = last.select(*part, F.last("op", ignorenulls=True).over(slices).alias("__op"))
     rows = rows.join(F.broadcast(last), part).withColumn("before", F.coalesce(F.lag("op").over(arrival), "__op"))
     return rows.drop("__first", "__latest", "__slice", "__op", "begun", "so_far")
@@ -132,11 +135,11 @@ def _accepted_in_slices(rows: DataFrame, uris: int) -> DataFrame:
 def fold(mutations: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The records after ``mutations`` (schema MUTATIONS), from ``state`` or from nothing."""
     rows = accepted(with_state(in_range(mutations), state))
-    content = F.struct("cid", "did", "collection", "rkey", "record_json")
+    content, place = F.struct("cid", "did", "collection", "rkey", "record_json"), F.struct(*ARRIVAL)
     folded = rows.groupBy("uri").agg(
-        F.max_by(F.when(F.col("op") == "U", content), F.when(F.col("op") == "U", F.col("seq"))).alias("r"),
+        F.max_by(F.when(F.col("op") == "U", content), F.when(F.col("op") == "U", place)).alias("r"),
         F.max("indexed_at").alias("indexed_at"),
-        (F.max_by("op", "seq") == "D").alias("is_deleted"),
+        (F.max_by("op", place) == "D").alias("is_deleted"),
     )
     return folded.select("uri", "r.*", "indexed_at", "is_deleted").select(*RECORD_COLUMNS)
 

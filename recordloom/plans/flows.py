@@ -112,10 +112,10 @@ _STREAMED = ACCEPTED.replace(M, _OF_FRAMES)
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> str:
-    """The frames as lines of text in the order of seq, two files at a time: a stream takes files by their age, and those of a batch by name."""
+    """The frames as lines of text in the order of seq (those of one DID and seq by time), two files at a time: a stream takes files by their age, and those of a batch by name."""
     folder = _folder(spark, "frames")
     for cut in _CUTS:
-        frame_lines(spark, sf_dir).where(cut).repartitionByRange(2, "seq").sortWithinPartitions("seq").select("value").write.mode("append").text(folder)
+        frame_lines(spark, sf_dir).where(cut).repartitionByRange(2, "seq").sortWithinPartitions("seq", "value").select("value").write.mode("append").text(folder)
     return folder
 
 

@@ -26,6 +26,11 @@ _CHANGE = Row(*[f.split()[0] for f in FEED.split(", ")])
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _arrival(m: Row) -> tuple:
+    """The order of ``fold.ARRIVAL``, nulls first."""
+    return tuple(x for c in fold.ARRIVAL for x in (m[c] is not None, m[c]))
+
+
 def step(state: tuple | None, op: str, content: tuple, time: int) -> tuple[tuple | None, str | None]:
     """The state (content, time, is_deleted) after one mutation, and the change it makes, if any."""
     if op == "U":
@@ -50,7 +55,7 @@ class Fold(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = state = self._read()
-        for m in sorted(rows, key=lambda m: m["seq"]):
+        for m in sorted(rows, key=_arrival):
             content = tuple(m[c] for c in _CONTENT)
             state, change = step(state, m["op"], content, m["indexed_at"])
             if change:

@@ -35,6 +35,21 @@ def seen(df):
     return {r["uri"]: (r["record_json"], r["indexed_at"], r["is_deleted"]) for r in df.collect()}
 
 
+def test_mutations_of_one_seq_have_an_order(spark):
+    """Whatever order a log is read in, mutations that share a seq come by time, op and cid."""
+    rng = random.Random(8)
+    log = [(rng.randrange(60), rng.choice("UUD"), f"at://u{rng.randrange(6)}", f"p{i}", rng.randrange(40)) for i in range(900)]
+    first = {u: min(m[0] for m in log if m[2] == u and m[1] == "U") for u in {m[2] for m in log}}
+    log = [m for m in log if m[0] != first[m[2]] or m[1] == "U"]  # a delete beside the first upsert has nothing to delete
+    ordered = sorted(log, key=lambda m: (m[0], m[4], m[1], f"cid-{m[3]}"))
+    state, feed = folded(ordered)
+    for _ in range(3):
+        rng.shuffle(log)
+        rows = frame(spark, log).repartition(3)
+        assert seen(fold.fold(rows)) == state
+        assert sorted((r["seq"], r["change"], r["uri"]) for r in fold.feed(rows).collect()) == feed
+
+
 def test_random_logs_match_the_fold_step_by_step(spark):
     rng = random.Random(3)
     log = [(i, rng.choice("UUD"), f"at://u{rng.randrange(300)}", f"p{i}", rng.randrange(6)) for i in range(4000)]
